@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hitloom.functions.text import trim_space
+from hitloom.functions.text import let, trim_space
 
+# A count of at most seven digits, a unit, then anything.
+RELATIVE = r"^([+\-]?[0-9]{1,7})\s+(\S+)"
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -33,28 +35,34 @@ def parse_result_date(text: Column, as_of: Column | None = None) -> Column:
     four), which keeps every result inside the timestamp range.
     """
     now = (utc_now() if as_of is None else as_of).cast("timestamp_ntz")
-    s = trim_space(text)
-    spaced = F.regexp_replace(s, " +", " ")
-    is_day = spaced.rlike(r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$")
-    absolute = F.try_to_date(F.when(is_day, spaced), "MMM d, yyyy").cast("timestamp_ntz")
-
-    relative = r"^([+\-]?[0-9]{1,7})\s+(\S+)"
-    n = F.nullif(F.regexp_extract(s, relative, 1), F.lit("")).cast("int")
-    unit = F.lower(F.rtrim(F.regexp_extract(s, relative, 2), F.lit("s")))
-    seconds = (
-        F.when(unit == "minute", F.lit(60))
-        .when(unit == "hour", F.lit(3600))
-        .when(unit == "day", F.lit(86400))
-        .when(unit == "week", F.lit(604800))
-    )
-    short = now - F.make_dt_interval(secs=(n.cast("long") * seconds).cast("decimal(18,0)"))
-    per_month = F.when(unit == "month", F.lit(1)).when(unit == "year", F.lit(12))
-    small = F.when(F.abs(n) <= 9999, n)
-    return F.coalesce(
-        absolute,
-        F.when(seconds.isNotNull(), short),
-        F.when(per_month.isNotNull(), _months_before(now, small * per_month)),
-    )
+
+    def relative(parts: Column) -> Column:
+        n, unit = parts["n"], parts["unit"]
+        seconds = (
+            F.when(unit == "minute", F.lit(60))
+            .when(unit == "hour", F.lit(3600))
+            .when(unit == "day", F.lit(86400))
+            .when(unit == "week", F.lit(604800))
+        )
+        elapsed = F.make_dt_interval(secs=(n.cast("long") * seconds).cast("decimal(18,0)"))
+        months = F.when(unit == "month", n).when(unit == "year", n * 12)
+        return F.when(
+            unit.isin("minute", "hour", "day", "week"), now - elapsed
+        ).when(
+            unit.isin("month", "year") & (F.abs(n) <= 9999), _months_before(now, months)
+        )
+
+    def parse(s: Column) -> Column:
+        spaced = F.regexp_replace(s, " +", " ")
+        is_day = spaced.rlike(r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$")
+        day = F.try_to_date(F.when(is_day, spaced), "MMM d, yyyy").cast("timestamp_ntz")
+        number = F.nullif(F.regexp_extract(s, RELATIVE, 1), F.lit(""))
+        unit = F.lower(F.rtrim(F.regexp_extract(s, RELATIVE, 2), F.lit("s")))
+        parts = F.struct(number.cast("int").alias("n"), unit.alias("unit"))
+        ago = F.when(s.rlike("^[+0-9-]"), let(parts, relative))
+        return F.when(s.rlike("^[A-Za-z]"), day).otherwise(ago)
+
+    return let(trim_space(text), parse)
 
 
 def strip_date_prefix(

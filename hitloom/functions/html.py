@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hitloom.functions.text import decode_entities, trim_space, truncate_text
+from hitloom.functions.text import decode_entities, let, trim_space, truncate_text
 
 # Elements that never hold main text.
 DROPPED_ELEMENTS = (
     "script style noscript template svg head nav footer aside form iframe button select"
 ).split()
-DROP = r"(?is)<!--.*?-->|" + "|".join(
-    rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in DROPPED_ELEMENTS
-)
+DROP = r"(?is)<(?:!--.*?--|" + "|".join(
+    rf"{tag}\b[^>]*>.*?</{tag}\s*" for tag in DROPPED_ELEMENTS
+) + ")>"
 # A block of bare text whose class says advertisement.
 ADVERT = r'(?is)<div\b[^>]*\bclass="(?:[^"]*\s)?(?:ad|ads|advert)(?:\s[^"]*)?"[^>]*>[^<]*</div\s*>'
 ARTICLE = r"(?is)<article\b[^>]*>(.*)</article\s*>"
@@ -28,7 +28,7 @@ BLOCK = (
 )
 LINK = r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a\s*>'
 TAG = r"(?s)<[^>]*>"
-BLANKS = r"[ \t\r\f\x{00A0}]+"
+BLANKS = r"[ \t\r\f\x{00A0}]{2,}|[\t\r\f\x{00A0}]"
 LINE_EDGES = r" ?\n[ \n]*"
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -42,14 +42,16 @@ DATE_META_REVERSED = (
     r'(?:article:published_time|datePublished|date|pubdate|publish_date|dc\.date)"'
 )
 DATE_TIME = r'(?is)<time\b[^>]*\bdatetime="([^"]*)"'
+DATE_TAGS = r"(?is)<(?:meta|time)\b[^>]*>"
 ISO_DAY = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})"
 
 
 def main_text(html: Column, links: bool = False) -> Column:
     """Readable text: boilerplate dropped, the article preferred, one line per block."""
     kept = F.regexp_replace(F.regexp_replace(html, DROP, ""), ADVERT, "")
-    article = F.regexp_extract(kept, ARTICLE, 1)
-    body = F.coalesce(F.nullif(article, F.lit("")), kept)
+    body = let(
+        kept, lambda k: F.coalesce(F.nullif(F.regexp_extract(k, ARTICLE, 1), F.lit("")), k)
+    )
     if links:
         body = F.regexp_replace(body, LINK, "[$2]($1)")
     text = F.regexp_replace(F.regexp_replace(body, CELL, " "), BLOCK, "\n")
@@ -71,11 +73,15 @@ def page_title(html: Column) -> Column:
 def page_published(html: Column) -> Column:
     """Publication day from the document's own metadata, as UTC wire text."""
 
-    def day_of(pattern: str) -> Column:
-        day = F.regexp_extract(F.regexp_extract(html, pattern, 1), ISO_DAY, 1)
-        return F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "yyyy-MM-dd'T00:00:00Z'")
+    def first_day(tags: Column) -> Column:
+        def day_of(pattern: str) -> Column:
+            day = F.regexp_extract(F.regexp_extract(tags, pattern, 1), ISO_DAY, 1)
+            return F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "yyyy-MM-dd'T00:00:00Z'")
 
-    return F.coalesce(day_of(DATE_META), day_of(DATE_META_REVERSED), day_of(DATE_TIME))
+        return F.coalesce(day_of(DATE_META), day_of(DATE_META_REVERSED), day_of(DATE_TIME))
+
+    found = F.regexp_extract_all(html, F.lit(DATE_TAGS), F.lit(0))
+    return let(F.array_join(found, ""), first_day)
 
 
 def page_metadata(html: Column) -> Column:
@@ -96,13 +102,13 @@ def sanitize_html(html: Column, max_chars: int = 0, extractor=None, unit: str =
     """
     extract = extractor or main_text
     empty = F.coalesce(html, F.lit("")) == ""
-    content = F.when(~empty, extract(html))
-    error = F.when(empty, F.lit("no raw HTML to sanitize")).when(
-        content.isNull(), F.lit("sanitize: no content")
-    )
-    return F.struct(
-        F.nullif(truncate_text(content, max_chars, unit), F.lit("")).alias("content_md"),
-        truncate_text(F.when(~empty, page_title(html)), max_chars, unit).alias("title"),
-        F.when(~empty, page_published(html)).alias("published_at"),
-        error.alias("error"),
+    failed = F.when(empty, F.lit("no raw HTML to sanitize")).otherwise("sanitize: no content")
+    return let(
+        F.when(~empty, truncate_text(extract(html), max_chars, unit)),
+        lambda content: F.struct(
+            F.nullif(content, F.lit("")).alias("content_md"),
+            truncate_text(F.when(~empty, page_title(html)), max_chars, unit).alias("title"),
+            F.when(~empty, page_published(html)).alias("published_at"),
+            F.when(content.isNull(), failed).alias("error"),
+        ),
     )

@@ -32,7 +32,14 @@ SAFESEARCH_NAMES = {0: "off", 1: "moderate", 2: "strict"}
 
 
 def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
+    """A constant map, parsed once."""
+
+    def sql(value) -> str:
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value).lower()
+
+    return F.expr(f"map({', '.join(sql(v) for pair in values.items() for v in pair)})")
 
 
 def brave_country(locale: Column) -> Column:

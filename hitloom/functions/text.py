@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def trim_space(text: Column) -> Column:
     """Trim every Unicode space, where the built-in trim takes blanks only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -32,12 +37,16 @@ def truncate_text(text: Column, limit: int, unit: str = "bytes") -> Column:
     if limit <= 0:
         return text
     if unit == "chars":
-        return F.when(F.length(text) > limit, F.left(text, F.lit(limit))).otherwise(text)
-    whole = F.coalesce(
-        *[F.try_validate_utf8(_byte_prefix(text, max(limit - k, 0))) for k in range(4)]
-    )
-    rest = F.repeat(F.lit("�"), F.lit(limit) - F.octet_length(whole))
-    return F.when(F.octet_length(text) > limit, F.concat(whole, rest)).otherwise(text)
+        return F.left(text, F.lit(limit))
+
+    def cut(t: Column) -> Column:
+        whole = F.coalesce(
+            *[F.try_validate_utf8(_byte_prefix(t, max(limit - k, 0))) for k in range(4)]
+        )
+        padded = let(whole, lambda w: F.concat(w, F.repeat(F.lit("�"), F.lit(limit) - F.octet_length(w))))
+        return F.when(F.octet_length(t) > limit, padded).otherwise(t)
+
+    return let(text, cut)
 
 
 def ellipsize(text: Column, width: int) -> Column:
@@ -81,31 +90,34 @@ AMPERSAND_PATTERN = r"&(?:amp|AMP|#0{0,5}38|#[xX]0{0,4}26);"
 
 def _entity_char(entity: Column) -> Column:
     """The character an entity stands for; null when it is unknown or the ampersand."""
-    names = F.create_map(
-        *[F.lit(v) for name, code in name2codepoint.items() for v in (name, chr(code))]
-    )
-    body = F.regexp_extract(entity, "^&#?[xX]?([A-Za-z0-9]+);$", 1)
-    code = (
-        F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10))
-        .when(entity.rlike("^&#"), body)
-        .cast("int")
-    )
-    known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
-    char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
-    named = F.when(~entity.rlike(AMPERSAND_PATTERN), F.try_element_at(names, body))
-    return F.when(F.startswith(entity, F.lit("&#")), char).otherwise(named)
+    known = [(name, str(code)) for name, code in name2codepoint.items()]
+    names, codes = (F.split(F.lit(" ".join(column)), " ") for column in zip(*known))
+
+    def char(body: Column) -> Column:
+        code = (
+            F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10))
+            .when(entity.rlike("^&#"), body)
+            .otherwise(F.try_element_at(F.map_from_arrays(names, codes), body))
+            .cast("int")
+        )
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+
+    return let(F.regexp_extract(entity, "^&#?[xX]?([A-Za-z0-9]+);$", 1), char)
 
 
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric character references in one pass over each distinct one."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_PATTERN), F.lit(0)))
-    decoded = F.aggregate(
-        found,
-        text,
-        lambda acc, e: F.replace(acc, e, F.coalesce(_entity_char(e), e)),
-    )
-    plain = F.regexp_replace(decoded, AMPERSAND_PATTERN, "&")
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY_PATTERN), F.lit(0)))
+        decoded = F.aggregate(
+            found, t, lambda acc, e: F.replace(acc, e, F.coalesce(_entity_char(e), e))
+        )
+        plain = F.regexp_replace(decoded, AMPERSAND_PATTERN, "&")
+        return F.when(F.contains(t, F.lit("&")), plain).otherwise(t)
+
+    return let(text, decode)
 
 
 def longest_of(text: Column, order: Column) -> Column:

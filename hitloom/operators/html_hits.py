@@ -3,122 +3,153 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 
 from hitloom.operators.rules import Rule
 
+# Elements without content, and elements whose content is no markup.
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-_SIMPLE = re.compile(
+RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript"
+
+TOKEN = re.compile(
+    rf"<!--.*?-->|<({RAW_TEXT})\b[^>]*>.*?</\1\s*>|<[!?][^>]*>"
+    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""",
+    re.S | re.I,
+)
+ATTRIBUTE = re.compile(
+    r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""", re.S
+)
+SIMPLE = re.compile(
     r"""(?P<tag>^[A-Za-z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
     r"""|\[(?P<attr>[\w-]+)(?:=['"]?(?P<val>[^'"\]]*)['"]?)?\]"""
 )
 FIELDS = ("url", "title", "snippet", "thumbnail", "date")
-ATTRIBUTE = {"url": "href", "thumbnail": "src"}
+FIELD_ATTRIBUTE = {"url": "href", "thumbnail": "src"}
 
 
-def _compile(selector: str):
-    """``div#links a[href]`` as a list of tests, one per step."""
-    steps = []
-    for part in selector.split():
-        tests = [m.groupdict() for m in _SIMPLE.finditer(part)]
-        steps.append(tests)
-    return steps
+class _Element:
+    """An open tag; its attributes are read only when a selector asks for them."""
 
+    __slots__ = ("tag", "text", "_attrs")
 
-def _step_matches(tests, tag, attrs, classes) -> bool:
-    for t in tests:
-        if t["tag"] and t["tag"].lower() != tag:
-            return False
-        if t["id"] and attrs.get("id") != t["id"]:
-            return False
-        if t["cls"] and t["cls"] not in classes:
-            return False
-        if t["attr"]:
-            if t["attr"] not in attrs:
-                return False
-            if t["val"] is not None and (attrs[t["attr"]] or "") != t["val"]:
-                return False
-    return True
-
+    def __init__(self, tag: str, text: str):
+        self.tag, self.text, self._attrs = tag, text, None
 
-class _Page(HTMLParser):
-    """Walks the tags once, keeping the open elements, the open hits and open texts."""
+    @property
+    def attrs(self) -> dict:
+        if self._attrs is None:
+            self._attrs = {}
+            for name, double, single, bare in ATTRIBUTE.findall(self.text):
+                self._attrs.setdefault(name.lower(), unescape(double or single or bare))
+        return self._attrs
 
-    def __init__(self, rule: Rule):
-        super().__init__(convert_charrefs=True)
-        self.container = _compile(rule.container)
-        self.fields = [(f, _compile(getattr(rule, f))) for f in FIELDS if getattr(rule, f)]
-        self.stack = []  # (tag, attrs, classes)
-        self.open_hits = []  # (depth, hit)
-        self.open_texts = []  # (depth, list of text pieces)
-        self.hits = []
+    @property
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
 
-    def _matches(self, steps) -> bool:
-        """The newest element against the last step, its ancestors against the others."""
-        if not _step_matches(steps[-1], *self.stack[-1]):
-            return False
-        at = len(self.stack) - 2
-        for tests in reversed(steps[:-1]):
-            while at >= 0 and not _step_matches(tests, *self.stack[at]):
-                at -= 1
-            if at < 0:
+    def fits(self, tests: list[dict]) -> bool:
+        for t in tests:
+            if t["tag"] and t["tag"].lower() != self.tag:
+                return False
+            if t["id"] and self.attrs.get("id") != t["id"]:
+                return False
+            if t["cls"] and t["cls"] not in self.classes:
+                return False
+            if t["attr"] and t["attr"] not in self.attrs:
+                return False
+            if t["val"] is not None and self.attrs[t["attr"]] != t["val"]:
                 return False
-            at -= 1
         return True
 
-    def _close_from(self, depth: int) -> None:
-        del self.stack[depth:]
-        self.open_hits = [h for h in self.open_hits if h[0] <= depth]
-        self.open_texts = [t for t in self.open_texts if t[0] <= depth]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
-            self._close_from(len(self.stack) - 1)
-        attrs = {k: v for k, v in reversed(attrs)}
-        classes = (attrs.get("class") or "").split()
-        self.stack.append((tag, attrs, classes))
-        depth = len(self.stack)
-        if self.open_hits:
-            for field, steps in self.fields:
-                if self._matches(steps):
-                    self._take(field, attrs, depth)
-        if self._matches(self.container):
-            hit = {"classes": classes, **{f: [] for f in FIELDS}}
-            self.hits.append(hit)
-            self.open_hits.append((depth, hit))
-        if tag in VOID:
-            self._close_from(depth - 1)
 
-    def _take(self, field, attrs, depth):
-        for _, hit in self.open_hits:
-            if field in ATTRIBUTE:
-                hit[field].append(attrs.get(ATTRIBUTE[field]) or "")
-            else:
-                self.open_texts.append((depth, hit[field]))
+@lru_cache(maxsize=256)
+def _selectors(rule: Rule):
+    """(container, fields) with every selector as a list of tests, one per step."""
+
+    def steps(selector):
+        return [[m.groupdict() for m in SIMPLE.finditer(p)] for p in selector.split()]
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    fields = [(f, steps(getattr(rule, f))) for f in FIELDS if getattr(rule, f)]
+    return steps(rule.container), fields
 
-    def handle_endtag(self, tag):
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self._close_from(at)
-                return
 
-    def handle_data(self, data):
-        for _, pieces in self.open_texts:
-            pieces.append(data)
+def _matches(stack: list[_Element], steps: list) -> bool:
+    """The newest element fits the last step, its ancestors the steps before."""
+    if not stack[-1].fits(steps[-1]):
+        return False
+    at = len(stack) - 2
+    for tests in reversed(steps[:-1]):
+        while at >= 0 and not stack[at].fits(tests):
+            at -= 1
+        if at < 0:
+            return False
+        at -= 1
+    return True
+
+
+def _raw_hits(html: str, rule: Rule) -> list[dict]:
+    """One walk over the tags with the open elements, open hits and open texts."""
+    container, fields = _selectors(rule)
+    stack, open_hits, open_texts, hits = [], [], [], []
+
+    def close_from(depth):
+        del stack[depth:]
+        while open_hits and open_hits[-1][0] > depth:
+            open_hits.pop()
+        while open_texts and open_texts[-1][0] > depth:
+            open_texts.pop()
+
+    at = 0
+    for token in TOKEN.finditer(html):
+        start, end = token.span()
+        if open_texts and start > at:
+            text = unescape(html[at:start])
+            for _, pieces in open_texts:
+                pieces.append(text)
+        at = end
+        closing, tag, attr_text = token.group(2, 3, 4)
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if closing:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth].tag == tag:
+                    close_from(depth)
+                    break
+            continue
+        if tag in ("p", "li") and stack and stack[-1].tag == tag:
+            close_from(len(stack) - 1)
+        element = _Element(tag, attr_text)
+        stack.append(element)
+        depth = len(stack)
+        if open_hits:
+            for field, steps in fields:
+                if not _matches(stack, steps):
+                    continue
+                for _, hit in open_hits:
+                    if field in FIELD_ATTRIBUTE:
+                        hit[field].append(element.attrs.get(FIELD_ATTRIBUTE[field], ""))
+                    else:
+                        open_texts.append((depth, hit[field]))
+        if _matches(stack, container):
+            hit = {"classes": element.classes, **{f: [] for f in FIELDS}}
+            hits.append(hit)
+            open_hits.append((depth, hit))
+        if tag in VOID:
+            close_from(depth - 1)
+    if open_texts:
+        for _, pieces in open_texts:
+            pieces.append(unescape(html[at:]))
+    return hits
 
 
 def page_hits(html: str | None, rule: Rule | None) -> list[dict]:
-    """Raw containers of a page in document order."""
+    """Hit containers of a page in document order."""
     if not html or rule is None:
         return []
-    page = _Page(rule)
-    page.feed(html)
-    page.close()
     return [
         {
             "url": (hit["url"] or [""])[0],
@@ -128,5 +159,5 @@ def page_hits(html: str | None, rule: Rule | None) -> list[dict]:
             "date_text": "".join(hit["date"]),
             "classes": hit["classes"],
         }
-        for hit in page.hits
+        for hit in _raw_hits(html, rule)
     ]

@@ -63,7 +63,7 @@ def engine_ranks(rules=DEFAULT_RULES) -> Column:
 
 def _request_url() -> Column:
     engine, page, code = F.col("engine"), F.col("page"), F.col("time_code")
-    q = query_escape(F.col("query"))
+    q = F.col("_q")
     brave = F.concat(
         F.lit("https://search.brave.com/search?q="), q, F.lit("&source=web"),
         F.when(page > 1, F.concat(F.lit("&offset="), (page - 1).cast("string"))).otherwise(""),
@@ -90,7 +90,7 @@ def _request_url() -> Column:
 def _request_form() -> Column:
     """Form body of a duckduckgo request; a later page still needs the session token."""
     page = F.col("page")
-    q = query_escape(quote_bangs(F.col("query")))
+    q = F.col("_banged")
     start = F.lit(10) + (page - 2) * 15
     first = F.concat(
         F.lit("b=&df="), F.col("time_code"), F.lit("&kl="), F.col("kl"), F.lit("&q="), q
@@ -109,7 +109,8 @@ def plan_requests(queries: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
 
     ``queries`` has query_id, query, engines, time_range, safesearch, locale, limit
     (each null means its default). A query too long for duckduckgo gives one row
-    with ``error`` and no URL. ``seq`` is the page-major order. Two explodes, no join.
+    with ``error`` and no URL. ``seq`` is the page-major order. Two explodes, no join;
+    the query is escaped once, before it is multiplied.
     """
     known = {f.name: f.dataType.simpleString() for f in queries.schema}
     defaults = {
@@ -126,6 +127,8 @@ def plan_requests(queries: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
             (F.coalesce(F.col(n), d) if n in known else d).alias(n)
             for n, d in defaults.items()
         ],
+        query_escape(F.col("query")).alias("_q"),
+        query_escape(quote_bangs(F.col("query"))).alias("_banged"),
     )
     grid = (
         select_engines(filled, rules)

@@ -23,11 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def choose(index: Column, values: list) -> Column:
     """The value at ``index`` modulo their number."""
-    at = F.pmod(index, F.lit(len(values)))
-    out = F.lit(values[-1])
-    for n in range(len(values) - 2, -1, -1):
-        out = F.when(at == n, F.lit(values[n])).otherwise(out)
-    return out
+    return F.get(F.lit(values), F.pmod(index, F.lit(len(values))).cast("int"))
 
 
 def as_of() -> Column:
@@ -235,7 +231,7 @@ def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         e.alias("query_id"),
         F.when(e % 97 == 0, F.repeat(F.concat("event_type", F.lit(" ")), 100)).otherwise(text).alias("query"),
-        choose(e, [None, "brave, duckduckgo", "bingnews,, brave-news ,bingnews", " , "]).alias("engines"),
+        choose(e, ["", "brave, duckduckgo", "bingnews,, brave-news ,bingnews", " , "]).alias("engines"),
         choose(e, ["day", "week", "month", "year", "", "bogus"]).alias("time_range"),
         choose(e, ["", "en-US", "de-DE", "zh-TW", "zz-ZZ"]).alias("locale"),
         (e % 4).cast("int").alias("safesearch"),
@@ -251,7 +247,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.floor(e / 3).alias("run_id"),
         F.when(F.floor(e / 3) % 50 == 0, F.lit(None)).otherwise(code).cast("int").alias("http_status"),
-        choose(F.floor(e / 2), ["30", "soon", None]).alias("retry_after"),
+        F.nullif(choose(F.floor(e / 2), ["30", "soon", ""]), F.lit("")).alias("retry_after"),
     )
 
 
