@@ -9,7 +9,6 @@ from hitloom.functions.text import let, trim_space
 
 # A count of at most seven digits, a unit, then anything.
 RELATIVE = r"^([+\-]?[0-9]{1,7})\s+(\S+)"
-RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def utc_now() -> Column:
@@ -17,15 +16,17 @@ def utc_now() -> Column:
 
 
 def rfc3339(ts: Column) -> Column:
-    """UTC wire text of a TIMESTAMP_NTZ."""
-    return F.date_format(ts, RFC3339)
+    """UTC wire text of a TIMESTAMP_NTZ, to the second. The session zone plays no part."""
+    text = F.left(ts.cast("string"), F.lit(19))
+    return F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def _months_before(as_of: Column, months: Column) -> Column:
     """Calendar shift in which a missing day runs over: 31 March minus a month is 3 March."""
     first = F.add_months(F.trunc(F.to_date(as_of), "MM"), -months)
     day = F.date_add(first, F.dayofmonth(as_of) - F.lit(1))
-    return day.cast("timestamp_ntz") + (as_of - F.date_trunc("day", as_of))
+    midnight = F.to_date(as_of).cast("timestamp_ntz")
+    return day.cast("timestamp_ntz") + (as_of - midnight)
 
 
 def parse_result_date(text: Column, as_of: Column | None = None) -> Column:

@@ -12,6 +12,23 @@ from hitloom.operators.rules import Rule
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt "
+    "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li "
+    "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+SCOPES = frozenset("button caption html marquee object table td template th".split())
+# A start tag that ends open elements: which ones, and what hides them from it.
+ENDS = {tag: (("p",), SCOPES) for tag in BLOCKS} | {
+    "a": (("a",), SCOPES),
+    "li": (("li",), SCOPES | {"ul", "ol"}),
+    "dt": (("dt", "dd"), SCOPES | {"dl"}),
+    "dd": (("dt", "dd"), SCOPES | {"dl"}),
+    "option": (("option",), frozenset({"select"})),
+    "tr": (("tr",), frozenset({"table"})),
+    "td": (("td", "th"), frozenset({"tr", "table"})),
+    "th": (("td", "th"), frozenset({"tr", "table"})),
+}
 RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript"
 
 TOKEN = re.compile(
@@ -90,6 +107,16 @@ def _matches(stack: list[_Element], steps: list) -> bool:
     return True
 
 
+def _open_at(stack: list[_Element], tags, hidden_by) -> int | None:
+    """Place of the nearest open element among ``tags``, none beyond ``hidden_by``."""
+    for at in range(len(stack) - 1, -1, -1):
+        if stack[at].tag in tags:
+            return at
+        if stack[at].tag in hidden_by:
+            return None
+    return None
+
+
 def _raw_hits(html: str, rule: Rule) -> list[dict]:
     """One walk over the tags with the open elements, open hits and open texts."""
     container, fields = _selectors(rule)
@@ -115,13 +142,14 @@ def _raw_hits(html: str, rule: Rule) -> list[dict]:
             continue
         tag = tag.lower()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    close_from(depth)
-                    break
+            found = _open_at(stack, (tag,), SCOPES if tag in BLOCKS else BLOCKS)
+            if found is not None:
+                close_from(found)
             continue
-        if tag in ("p", "li") and stack and stack[-1].tag == tag:
-            close_from(len(stack) - 1)
+        if tag in ENDS:
+            found = _open_at(stack, *ENDS[tag])
+            if found is not None:
+                close_from(found)
         element = _Element(tag, attr_text)
         stack.append(element)
         depth = len(stack)

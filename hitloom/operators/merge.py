@@ -15,6 +15,7 @@ from hitloom.operators.rules import DEFAULT_RULES, engine_names
 DEFAULT_LIMIT = 20
 PAGE_SIZE = 10
 MAX_PAGES = 5
+SALTS = 1024
 
 
 def union_hits(*batches: DataFrame) -> DataFrame:
@@ -143,23 +144,41 @@ def result_order() -> list[Column]:
     ]
 
 
+def _best(rows: DataFrame, k: int, *more: str, name: str = "rank") -> DataFrame:
+    w = Window.partitionBy("query_id", *more).orderBy(*result_order())
+    return rows.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
 def rank_results(
-    merged: DataFrame, limit: int = DEFAULT_LIMIT, with_total: bool = True
+    merged: DataFrame, limit: int = DEFAULT_LIMIT, total: str = "recount"
 ) -> DataFrame:
     """Best ``limit`` results per query with ``rank``, and ``total`` before the cut.
 
     The numbered filter becomes a group limit ahead of the shuffle: a map task sends
-    at most ``limit`` rows per query, so a hot query stays small. The total is a
-    separate count that needs the keys only and combines on the map side too; a
-    window count would bring every row of a query into one task.
+    at most ``limit`` rows per query, so a hot query stays small. A window count
+    would bring every row of a query into one task, so the total is taken
+
+    - ``recount``: from a second pass that reads the keys only and combines on the
+      map side; for hits that are stored;
+    - ``salted``: in the same pass, counting and cutting each of ``SALTS`` slices of
+      a query before the slices meet; for hits that are costly to produce twice;
+    - ``none``: not at all.
     """
     k = limit if limit > 0 else DEFAULT_LIMIT
-    w = Window.partitionBy("query_id").orderBy(*result_order())
-    best = merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if not with_total:
-        return best
-    totals = merged.groupBy("query_id").agg(F.count("*").alias("total"))
-    return best.join(totals, "query_id")
+    if total == "none":
+        return _best(merged, k)
+    if total == "recount":
+        totals = merged.groupBy("query_id").agg(F.count("*").alias("total"))
+        return _best(merged, k).join(totals, "query_id")
+    if total != "salted":
+        raise ValueError(f"unknown total {total!r}")
+    sliced = merged.withColumn("_salt", F.pmod(F.xxhash64("url_key"), F.lit(SALTS)))
+    size = F.count("*").over(Window.partitionBy("query_id", "_salt"))
+    cut = _best(sliced.withColumn("_size", size), k, "_salt", name="_at")
+    # The first row of a slice stands for the slice: its size counts once.
+    whole = F.sum(F.when(F.col("_at") == 1, F.col("_size"))).over(Window.partitionBy("query_id"))
+    ranked = _best(cut.withColumn("total", whole), k)
+    return ranked.drop("_salt", "_size", "_at")
 
 
 def pages_for_limit(limit: Column) -> Column:

@@ -19,20 +19,27 @@ from hitloom.operators.rules import DEFAULT_RULES, engine_names
 from hitloom.operators.sanitize import MAX_CHARS, apply_sanitized
 
 
-def search_hits(hits: DataFrame, limit: int = DEFAULT_LIMIT, engines=None) -> DataFrame:
+def search_hits(
+    hits: DataFrame, limit: int = DEFAULT_LIMIT, engines=None, total: str = "recount"
+) -> DataFrame:
     """Hits to ranked records with query_id, rank and total."""
     asked = within_page_limit(hits, limit)
-    ranked = rank_results(merge_hits(asked, engines), limit)
-    return to_records(ranked, "query_id", "rank", "total")
+    ranked = rank_results(merge_hits(asked, engines), limit, total)
+    keys = [c for c in ("query_id", "rank", "total") if c in ranked.columns]
+    return to_records(ranked, *keys)
 
 
 def search_pages(
     result_pages: DataFrame, limit: int = DEFAULT_LIMIT, rules=DEFAULT_RULES,
     as_of: Column | None = None,
 ) -> DataFrame:
-    """Result pages to ranked records; pages beyond the limit are never parsed."""
+    """Result pages to ranked records; pages beyond the limit are never parsed.
+
+    The total is taken in the same pass, so each page is parsed once.
+    """
     asked = within_page_limit(result_pages, limit)
-    return search_hits(extract_hits(asked, rules, as_of), limit, engine_names(rules))
+    hits = extract_hits(asked, rules, as_of)
+    return search_hits(hits, limit, engine_names(rules), total="salted")
 
 
 def attach_text(
