@@ -44,6 +44,7 @@ from hitloom.operators.merge import (
     rank_results,
     union_hits,
     within_page_limit,
+    within_query_limits,
 )
 from hitloom.operators.records import result_cards, results_json, to_records
 from hitloom.operators.requests import plan_requests, select_engines

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +21,13 @@ RAW_HITS = T.ArrayType(
     )
 )
 
+ARROW_HITS = pa.list_(
+    pa.struct(
+        [(f, pa.string()) for f in ("url", "title", "snippet", "thumbnail", "date_text")]
+        + [("classes", pa.list_(pa.string()))]
+    )
+)
+
 CHALLENGE_FORM = r"(?is)<form\b[^>]*\bid\s*=\s*[\"']?challenge-form[\"'\s>]"
 
 
@@ -71,11 +78,10 @@ def raw_hits(html: Column, engine: Column, rules=DEFAULT_RULES) -> Column:
     """Array of the hit containers of one page: the one step that leaves the JVM."""
     by_name = {r.name: r for r in rules}
 
-    @F.pandas_udf(RAW_HITS)
-    def parse(html: pd.Series, engine: pd.Series) -> pd.Series:
-        return pd.Series(
-            [page_hits(h, by_name.get(e)) for h, e in zip(html, engine)], dtype="object"
-        )
+    @F.arrow_udf(RAW_HITS)
+    def parse(html: pa.Array, engine: pa.Array) -> pa.Array:
+        rows = zip(html.to_pylist(), engine.to_pylist())
+        return pa.array([page_hits(h, by_name.get(e)) for h, e in rows], ARROW_HITS)
 
     return parse(html, engine)
 

@@ -181,6 +181,23 @@ def rank_results(
     return ranked.drop("_salt", "_size", "_at")
 
 
+def within_query_limits(
+    ranked: DataFrame, queries: DataFrame, upper: int = DEFAULT_LIMIT
+) -> DataFrame:
+    """Keep of each query the rows its own ``limit`` asks for.
+
+    ``queries`` has query_id and limit (null or not positive: the default).
+    ``ranked`` was cut at ``upper``; a query that asks for more stops the job, so
+    nothing is lost unseen.
+    """
+    asked = F.when(F.col("limit") > 0, F.col("limit")).otherwise(DEFAULT_LIMIT)
+    message = F.concat(F.lit("limit above the cut at "), F.lit(upper))
+    checked = F.when(asked > upper, F.raise_error(message).cast("int")).otherwise(asked)
+    limits = queries.select("query_id", checked.alias("_limit"))
+    kept = ranked.join(limits, "query_id").filter(F.col("rank") <= F.col("_limit"))
+    return kept.drop("_limit")
+
+
 def pages_for_limit(limit: Column) -> Column:
     """Pages to read per engine: ten results a page, between one and five pages."""
     wanted = F.when(limit > 0, limit).otherwise(DEFAULT_LIMIT)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.html import TITLE
 from hitloom.functions.keys import page_key, result_key
+from hitloom.sources.tables import spread_scan
 
 NOW = 1_700_000_000
 AS_OF = "2026-03-31 12:30:15"
@@ -18,7 +19,7 @@ ENGINES = ["brave", "duckduckgo", "brave-news", "bingnews"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def choose(index: Column, values: list) -> Column:

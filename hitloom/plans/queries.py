@@ -37,6 +37,7 @@ from hitloom.operators.merge import (
     seen_order,
     union_hits,
     within_page_limit,
+    within_query_limits,
 )
 from hitloom.operators.records import result_cards, results_json, to_records
 from hitloom.operators.requests import engine_ranks, plan_requests, select_engines
@@ -94,6 +95,16 @@ def ranked(spark, d):
     )
 
 
+def query_limits(spark, d):
+    """Each query keeps as many results as it asks for, between 1 and 50."""
+    hits = inputs.hits(spark, d)
+    asked = inputs.hits(spark, d).select("query_id").distinct().withColumn(
+        "limit", (F.col("query_id") * 7 % 51).cast("int")
+    )
+    rows = within_query_limits(rank_results(merge_hits(hits), 50, "none"), asked, 50)
+    return rows.select("query_id", "rank", "url")
+
+
 def longest_title(spark, d):
     keyed = inputs.hits(spark, d).withColumn("url_key", normalize_url(F.col("url")))
     return keyed.groupBy("query_id", "url_key").agg(
@@ -288,8 +299,9 @@ def cache_upsert(spark, d):
 
 
 def cache_purge(spark, d):
-    listed = table(spark, d, "pages").filter(F.length("url") % 5 == 0)
-    keys = listed.select(page_key(F.col("url")).alias("cache_key"))
+    """Drop the entries of pages whose capture failed, then what expired."""
+    failed = inputs.snapshots(spark, d).filter(F.col("error") != "")
+    keys = failed.select(page_key(F.col("url")).alias("cache_key"))
     rows = purge_expired(delete_entries(inputs.page_cache(spark, d), keys), NOW)
     return rows.select("cache_key", "url", "expires_at")
 
@@ -427,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "merge_hits": merged_rows,
     "hit_positions": positions,
     "rank_results": ranked,
+    "query_limits": query_limits,
     "longest_title": longest_title,
     "engine_selection": engine_selection,
     "page_limit": page_limit,

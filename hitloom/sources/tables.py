@@ -10,8 +10,21 @@ from pyspark.sql import types as T
 from hitloom.schemas import RESULT_CACHE, RESULT_PAGE, SNAPSHOT
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than the cluster has cores.
+
+    Parsing and cutting HTML costs far more per byte than moving it, so a few big
+    splits would leave most cores idle. A scan with enough splits stays as it is:
+    a large table is never shuffled here. For a plain scan only, as counting the
+    splits of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = scan.rdd.getNumPartitions() < cores
+    return scan.repartition(cores) if few else scan
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spread_scan(spark.read.schema(schema).parquet(path))
 
 
 def read_result_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -47,8 +60,10 @@ def latest_version(spark: SparkSession, root: str) -> int:
     """Number of the last committed version; 0 when there is none."""
     try:
         log = spark.read.schema("version BIGINT").json(_version_log(root))
-    except AnalysisException:
-        return 0
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
     return log.agg(F.max("version")).first()[0] or 0
 
 

@@ -19,6 +19,7 @@ from hitloom.operators.merge import (
     position_lists,
     rank_results,
     union_hits,
+    within_query_limits,
 )
 from hitloom.operators.records import result_cards, results_json, to_records
 from hitloom.operators.requests import plan_requests, select_engines
@@ -147,6 +148,17 @@ def test_limit_default(spark):
     assert rank_results(merge_hits(hits_of(spark, *rows)), 0).count() == 20
 
 
+def test_query_limits(spark):
+    rows = [hit(q, position=p, url=f"https://e.com/{p}") for q in (1, 2) for p in range(1, 31)]
+    ranked = rank_results(merge_hits(hits_of(spark, *rows)), 25, "none")
+    queries = spark.createDataFrame([(1, 3), (2, None)], "query_id long, limit int")
+    kept = within_query_limits(ranked, queries, 25).groupBy("query_id").count()
+    assert {r[0]: r[1] for r in kept.collect()} == {1: 3, 2: 20}
+    greedy = spark.createDataFrame([(1, 26), (2, 1)], "query_id long, limit int")
+    with pytest.raises(Exception, match="limit above the cut at 25"):
+        within_query_limits(ranked, greedy, 25).collect()
+
+
 def test_pages_for_limit(spark):
     df = spark.createDataFrame([(n,) for n in (-1, 0, 1, 10, 11, 20, 21, 50, 51, 900)], "n int")
     out = [r[0] for r in df.select(pages_for_limit(F.col("n"))).collect()]
