@@ -83,38 +83,49 @@ def format_cents(value: Column) -> Column:
     )
 
 
-# Any entity but the ampersand's own, which is decoded last so that "&amp;lt;" reads "&lt;".
-ENTITY_PATTERN = r"&(?:[A-Za-z][A-Za-z0-9]{1,9}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
-AMPERSAND_PATTERN = r"&(?:amp|AMP|#0{0,5}38|#[xX]0{0,4}26);"
+# Entities that end with a semicolon, and those that do without. The ampersand's own
+# comes last, so that "&amp;lt;" reads "&lt;".
+ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]{1,9}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+BARE_ENTITY = r"&(?:[A-Za-z]{2,6}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6})(?![A-Za-z0-9;])"
+AMPERSAND = r"&(?:amp|AMP|#0{0,5}38|#[xX]0{0,4}26);?"
 
 
 def _entity_char(entity: Column) -> Column:
-    """The character an entity stands for; null when it is unknown or the ampersand."""
-    known = [(name, str(code)) for name, code in name2codepoint.items()]
-    names, codes = (F.split(F.lit(" ".join(column)), " ") for column in zip(*known))
-
-    def char(body: Column) -> Column:
-        code = (
-            F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10))
-            .when(entity.rlike("^&#"), body)
-            .otherwise(F.try_element_at(F.map_from_arrays(names, codes), body))
-            .cast("int")
-        )
+    """The character an entity stands for; null when it is unknown or the ampersand.
+
+    Without a semicolon only the old names count: Latin-1 and the markup characters.
+    """
+    known = [(f"&{name};", code) for name, code in name2codepoint.items()]
+    known += [(f"&{n}", c) for n, c in name2codepoint.items() if c < 256 or n in ("lt", "gt")]
+    names = F.split(F.lit(" ".join(n for n, _ in known)), " ")
+    codes = F.split(F.lit(" ".join(str(c) for _, c in known)), " ")
+    digits = F.regexp_extract(entity, "^&#[xX]?([A-Za-z0-9]+);?$", 1)
+    number = (
+        F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10))
+        .when(entity.rlike("^&#"), digits)
+        .otherwise(F.try_element_at(F.map_from_arrays(names, codes), entity))
+    )
+
+    def char(code: Column) -> Column:
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
         return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
 
-    return let(F.regexp_extract(entity, "^&#?[xX]?([A-Za-z0-9]+);$", 1), char)
+    return let(number.cast("int"), char)
 
 
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric character references in one pass over each distinct one."""
 
     def decode(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY_PATTERN), F.lit(0)))
+        found = F.concat(
+            *[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in (ENTITY, BARE_ENTITY)]
+        )
         decoded = F.aggregate(
-            found, t, lambda acc, e: F.replace(acc, e, F.coalesce(_entity_char(e), e))
+            F.array_distinct(found),
+            t,
+            lambda acc, e: F.replace(acc, e, F.coalesce(_entity_char(e), e)),
         )
-        plain = F.regexp_replace(decoded, AMPERSAND_PATTERN, "&")
+        plain = F.regexp_replace(decoded, AMPERSAND, "&")
         return F.when(F.contains(t, F.lit("&")), plain).otherwise(t)
 
     return let(text, decode)

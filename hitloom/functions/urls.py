@@ -13,45 +13,43 @@ URL_PATTERN = (
 )
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, URL_PATTERN, group)
-
-
-def _userinfo(url: Column) -> Column:
-    return F.regexp_extract(_part(url, 3), r"(?s)^(.*)@", 1)
-
-
-def _host(url: Column) -> Column:
-    return F.regexp_extract(_part(url, 3), r"(?s)^(?:.*@)?(.*)$", 1)
-
-
-def _bad_escape(text: Column) -> Column:
-    """True where a percent sign is not followed by two hex digits."""
-    rest = F.regexp_replace(text, "%[0-9A-Fa-f]{2}", "")
-    return F.contains(text, F.lit("%")) & F.contains(rest, F.lit("%"))
+def _parts(url: Column) -> Column:
+    """The pieces of a URL as a struct."""
+
+    def part(n: int) -> Column:
+        return F.regexp_extract(url, URL_PATTERN, n)
+
+    authority = part(3)
+    return F.struct(
+        part(1).alias("scheme"),
+        part(2).alias("slashes"),
+        F.regexp_extract(authority, r"(?s)^(.*)@", 1).alias("user"),
+        F.regexp_extract(authority, r"(?s)^(?:.*@)?(.*)$", 1).alias("host"),
+        part(4).alias("path"),
+        part(5).alias("query"),
+        part(6).alias("fragment"),
+    )
 
 
-def url_is_valid(url: Column) -> Column:
+def _is_valid(url: Column, p: Column) -> Column:
     """False for text a strict URL parser rejects: such text is never rewritten."""
-    host = _host(url)
-    scheme, path = _part(url, 1), _part(url, 4)
-    port = F.regexp_extract(host, r":([^:\]]*)$", 1)
+    host, path = p["host"], p["path"]
+    escaped = F.concat(host, path, p["fragment"])
+    unescaped = F.regexp_replace(escaped, "%[0-9A-Fa-f]{2}", "")
     return ~(
-        url.rlike(r"[\x00-\x1f\x7f]")
-        | F.startswith(url, F.lit(":"))
-        | ((scheme == "") & (_part(url, 2) == "") & path.rlike("^[^/]*:"))
-        | host.rlike(r"[ \\^`{|}]")
-        | host.rlike("%[0-7]") & ~F.contains(host, F.lit("%25"))
-        | (F.startswith(host, F.lit("[")) & ~F.contains(host, F.lit("]")))
-        | port.rlike("[^0-9]")
-        | _userinfo(url).rlike(r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]")
-        | _bad_escape(F.concat(_part(url, 3), path, _part(url, 6)))
+        url.rlike(r"^:|[\x00-\x1f\x7f]")
+        | ((p["scheme"] == "") & (p["slashes"] == "") & path.rlike("^[^/]*:"))
+        # Forbidden signs, an escape of a plain character, an open bracket, a bad port.
+        | host.rlike(r"[ \\^`{|}]|^\[[^\]]*$|:[^:\]0-9]*[^:\]0-9][^:\]]*$|:[0-9]+[^:\]0-9][^:\]]*$")
+        | (host.rlike("%[0-7]") & ~F.contains(host, F.lit("%25")))
+        | p["user"].rlike(r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]")
+        | F.contains(unescaped, F.lit("%"))
     )
 
 
 def url_host(url: Column) -> Column:
     """Host with port; empty when there is none, null when the URL is not valid."""
-    return F.when(url_is_valid(url), _host(url))
+    return let(_parts(url), lambda p: F.when(_is_valid(url, p), p["host"]))
 
 
 # What form encoding and path encoding write differently.
@@ -82,24 +80,27 @@ def _normal_path(path: Column) -> Column:
 # A URL with nothing to check and nothing to encode. Groups: 1 scheme, 2 host and port
 # without "www.", 3 path without one trailing slash, 4 query.
 PLAIN_URL = (
-    r"^([a-z][a-z0-9+.\-]*://)(?:[Ww]{3}\.)?([A-Za-z0-9.\-]+(?::[0-9]*)?)"
+    r"^([a-z][a-z0-9+.\-]*://)(?:[Ww]{3}\.)?+([A-Za-z0-9.\-]+(?::[0-9]*)?)"
     r"((?:/[A-Za-z0-9\-._~$&+,/:;=@]*?)??)/?(\?[^#\x00-\x1f\x7f]*)?(?:#[^%\x00-\x1f\x7f]*)?$"
 )
 
 
 def _normalize_any(url: Column) -> Column:
-    scheme, slashes, path = _part(url, 1), _part(url, 2), _part(url, 4)
-    opaque = (scheme != "") & (slashes == "") & ~F.startswith(path, F.lit("/"))
-    user = _userinfo(url)
-    rebuilt = F.concat(
-        F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""),
-        F.when(slashes != "", F.lit("//")).otherwise(""),
-        F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""),
-        F.regexp_replace(F.lower(_host(url)), r"^www\.", ""),
-        F.when(opaque, path).otherwise(_normal_path(path)),
-        _part(url, 5),
-    )
-    return F.when(url_is_valid(url), rebuilt).otherwise(url)
+    def rebuild(p: Column) -> Column:
+        path = p["path"]
+        host = F.regexp_replace(F.lower(p["host"]), r"^www\.", "")
+        opaque = (p["scheme"] != "") & (p["slashes"] == "") & ~F.startswith(path, F.lit("/"))
+        rebuilt = F.concat(
+            F.when(p["scheme"] != "", F.concat(F.lower(p["scheme"]), F.lit(":"))).otherwise(""),
+            F.when((p["slashes"] != "") & (F.concat(p["user"], host, path) != ""), "//").otherwise(""),
+            F.when(p["user"] != "", F.concat(p["user"], F.lit("@"))).otherwise(""),
+            host,
+            F.when(opaque, path).otherwise(_normal_path(path)),
+            p["query"],
+        )
+        return F.when(_is_valid(url, p), rebuilt).otherwise(url)
+
+    return let(_parts(url), rebuild)
 
 
 def normalize_url(url: Column) -> Column:

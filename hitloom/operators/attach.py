@@ -98,16 +98,16 @@ def pick_snapshot(
 
     ``captures`` has url, waited_ms (time since navigation), text_length and the
     page columns. The earliest capture in the poll window with enough text wins,
-    else the latest in the window, else the earliest of all. Three bounded buffers
-    per URL that combine on the map side; ties go to the greatest row.
+    else the latest in the window, else the earliest of all. These are one order, so
+    the aggregate keeps a single capture: a map task sends one body per URL.
     """
-    rest = [c for c in captures.columns if c not in ("url", "waited_ms", "text_length")]
-    row = F.struct("waited_ms", "text_length", *rest)
-    in_window = F.col("waited_ms") <= poll_seconds * 1000
-    ready = in_window & (F.col("text_length") >= min_chars)
-    picked = captures.groupBy("url").agg(
-        F.coalesce(
-            F.min(F.when(ready, row)), F.max(F.when(in_window, row)), F.min(row)
-        ).alias("p")
+    waited, length = F.col("waited_ms"), F.col("text_length")
+    in_window = waited <= poll_seconds * 1000
+    class_of = F.when(in_window & (length >= min_chars), 1).when(in_window, 2).otherwise(3)
+    sign = F.when(F.col("_class") == 2, -1).otherwise(1)
+    rest = [c for c in captures.columns if c != "url"]
+    order = F.struct(
+        F.col("_class"), (waited * sign).alias("_waited"), (length * sign).alias("_length"), *rest
     )
-    return picked.select("url", "p.*")
+    picked = captures.withColumn("_class", class_of).groupBy("url").agg(F.min(order).alias("p"))
+    return picked.select("url", *[F.col(f"p.{c}").alias(c) for c in rest])

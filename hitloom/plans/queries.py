@@ -177,7 +177,8 @@ def truncate_content(spark, d):
         "doc_id",
         F.length(truncate_text(F.col("text"), 1000, "chars")).alias("n_chars"),
         F.md5(truncate_text(F.col("text"), 1000, "chars")).alias("text_md5"),
-        F.octet_length(truncate_text(F.regexp_replace("text", "[^ -~]", "?"), 1000)).alias("n_bytes"),
+        F.octet_length(truncate_text(F.col("text"), 1000)).alias("n_bytes"),
+        F.md5(truncate_text(F.col("text"), 1000)).alias("cut_md5"),
     )
 
 

@@ -49,20 +49,25 @@ def write_record_stream(
 def stream_sanitize(
     spark: SparkSession, source: str, sink: str, checkpoint: str,
     max_chars: int = MAX_CHARS, keep_raw: bool = False, extractor=None, unit: str = "bytes",
+    max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """Record files in, sanitized record files out; skipped rows keep their HTML."""
     strip = "none" if keep_raw else "sanitized"
-    records = read_record_stream(spark, source)
+    records = read_record_stream(spark, source, max_files_per_trigger)
     out = sanitize(records, max_chars, extractor, strip, unit)
     return write_record_stream(out, sink, checkpoint, keep_raw=True)
 
 
 def stream_attach_pages(
     spark: SparkSession, source: str, snapshots: DataFrame, sink: str, checkpoint: str,
-    cache: DataFrame | None = None, now: int | None = None,
+    cache: DataFrame | None = None, now: int | None = None, max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Record files in, records with page bodies out: a stream-static left join."""
-    records = read_record_stream(spark, source)
+    """Record files in, records with page bodies out: a stream-static left join.
+
+    Each micro-batch reads the bodies once, so keep batches large; bodies bucketed
+    by URL (``save_snapshots``) are not shuffled for it.
+    """
+    records = read_record_stream(spark, source, max_files_per_trigger)
     out = attach_pages(records, snapshots, cache, now)
     return write_record_stream(out, sink, checkpoint, keep_raw=True)
 

@@ -344,7 +344,9 @@ def brute_pick(rows, min_chars=500, window=5000):
     rows = sorted(rows)
     ready = [r for r in rows if r[0] <= window and r[1] >= min_chars]
     inside = [r for r in rows if r[0] <= window]
-    return ready[0] if ready else inside[-1] if inside else rows[0]
+    if ready or not inside:
+        return (ready or rows)[0]
+    return min(inside, key=lambda r: (-r[0], -r[1], r[2]))
 
 
 def test_pick_snapshot(spark):
