@@ -51,7 +51,13 @@ from hitloom.operators.requests import plan_requests, select_engines
 from hitloom.operators.rules import DEFAULT_RULES, Rule
 from hitloom.operators.sanitize import sanitize, strip_html
 from hitloom.operators.status import classify_status, health_summary
-from hitloom.plans.run import attach_text, run_search, search_hits, search_pages
+from hitloom.plans.run import (
+    attach_text,
+    run_search,
+    search_cached,
+    search_hits,
+    search_pages,
+)
 from hitloom.session import tune
 from hitloom.sources.ndjson import read_records, write_records
 from hitloom.sources.tables import (

@@ -46,7 +46,13 @@ from hitloom.operators.sanitize import sanitize
 from hitloom.operators.status import classify_status, health_summary
 from hitloom.plans import inputs
 from hitloom.plans.inputs import NOW, as_of, table
-from hitloom.plans.run import attach_text, run_search, search_hits, search_pages
+from hitloom.plans.run import (
+    attach_text,
+    run_search,
+    search_cached,
+    search_hits,
+    search_pages,
+)
 from hitloom.schemas import PAGE_CACHE, RECORD
 from hitloom.session import scratch_dir
 from hitloom.sources.ndjson import read_records, write_records
@@ -420,6 +426,16 @@ def search_with_text(spark, d):
     return text_rows(attach_text(ranked_records(spark, d), inputs.snapshots(spark, d)))
 
 
+def cached_search(spark, d):
+    rows = search_cached(
+        request_table(spark, d), inputs.result_cache(spark, d), inputs.hits(spark, d), 50, now=NOW
+    )
+    return rows.select(
+        "query_id", "rank", "total", "url", "title", F.round("score", 6).alias("score"),
+        joined(F.col("engines")).alias("engines"), "cached", "published_at",
+    )
+
+
 def search_result_pages(spark, d):
     rows = search_pages(inputs.result_pages(spark, d), 50, as_of=as_of())
     return rows.select(
@@ -475,6 +491,7 @@ QUERIES: dict[str, Query] = {
     "stream_attach": streamed_attach,
     "stream_cache_upkeep": streamed_upkeep,
     "search_with_text": search_with_text,
+    "search_cached": cached_search,
     "search_result_pages": search_result_pages,
     "search_run": search_run,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.html import sanitize_html
 from hitloom.operators.attach import apply_page, url_join_key
+from hitloom.operators.cache import cached_and_fresh
 from hitloom.operators.extract import extract_hits
 from hitloom.operators.merge import (
     DEFAULT_LIMIT,
@@ -42,6 +43,20 @@ def search_pages(
     return search_hits(hits, limit, engine_names(rules), total="salted")
 
 
+def search_cached(
+    requests: DataFrame, cache: DataFrame, fetched: DataFrame, limit: int = DEFAULT_LIMIT,
+    engines=None, now: int | Column | None = None, use_cache: bool = True,
+    refresh: bool = False,
+) -> DataFrame:
+    """Planned requests to ranked records, from the cache where it answers.
+
+    ``fetched`` holds the hits of captured pages; only those of unanswered requests
+    take part. The total is taken in the same pass, so the cache is joined once.
+    """
+    hits = cached_and_fresh(requests, cache, fetched, now, use_cache, refresh)
+    return search_hits(hits, limit, engines, total="salted")
+
+
 def attach_text(
     records: DataFrame, snapshots: DataFrame, max_chars: int = MAX_CHARS,
     keep_raw: bool = False, extractor=None, unit: str = "bytes",

@@ -19,7 +19,7 @@ def connect(sf_dir):
 
 def cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6f}"
+        return "nan" if math.isnan(value) else repr(value)
     if isinstance(value, dt.datetime):
         return value.isoformat()
     return "null" if value is None else str(value)
