@@ -11,7 +11,6 @@ from hitloom.functions.dates import parse_result_date, rfc3339, strip_date_prefi
 from hitloom.functions.html import body_text_length, page_metadata, page_title
 from hitloom.functions.keys import page_key, result_key
 from hitloom.functions.text import (
-    decode_entities,
     longest_of,
     merge_shadow_text,
     quote_bangs,
@@ -53,7 +52,7 @@ from hitloom.plans.run import (
     search_hits,
     search_pages,
 )
-from hitloom.schemas import PAGE_CACHE, RECORD
+from hitloom.schemas import PAGE_CACHE
 from hitloom.session import scratch_dir
 from hitloom.sources.ndjson import read_records, write_records
 from hitloom.sources.tables import read_cache
