@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,14 +27,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``.
+    """A new folder under ``spark.checkpoint.dir``, else under the warehouse folder.
 
-    A machine-local folder is used only by a local session with that setting
-    unset, as in tests; a cluster without it is an error.
+    Both are shared by the driver and all executors; no machine-local folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="hitloom-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

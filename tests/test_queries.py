@@ -11,8 +11,10 @@ from hitloom.plans import inputs
 from hitloom.plans.run import attach_text, run_search
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = {
+    name: query for name, query in entry_points.queries().items() if name not in entry_points.LLM_QUERIES
+}
+ORACLE = {name: sql for name, sql in entry_points.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
