@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitloom.llm.store import on_workers
+
 PIECE_CHARS = 1_000_000
 MEMO_ENTRIES = 600_000
 
@@ -220,21 +222,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec_on_workers(df: DataFrame, path: str, pattern: str):
     """A function that gives the worker's codec; what is sent is the vocabulary of fixed size."""
     tokens = read_ranks(path)
-    sent = df.sparkSession.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens)))
+    return on_workers(df.sparkSession, (tokens, pattern, PerfectHash(tokens)), _codec)
 
-    def codec() -> Codec:
-        if sent.id not in _CODECS:
-            _CODECS.clear()
-            _CODECS[sent.id] = Codec(*sent.value)
-        return _CODECS[sent.id]
 
-    return codec
+def _codec(sent) -> Codec:
+    return Codec(*sent)
 
 
 def encode(df: DataFrame, text: Column, path: str, pattern: str, into: str = "ids") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +35,22 @@ def beside(df: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: i
     if small.limit(max_rows + 1).count() <= max_rows:
         small = F.broadcast(small)
     return df.join(small, on, how)
+
+
+_BUILT: dict[str, object] = {}
+
+
+def _built(key: str, sent, build: Callable):
+    if key not in _BUILT:
+        while len(_BUILT) > 3:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = build(sent.value)
+    return _BUILT[key]
+
+
+def on_workers(spark: SparkSession, payload, build: Callable) -> Callable:
+    """A function that gives ``build(payload)``, built once per worker.
+
+    ``payload`` is broadcast, so callers pass only what has a bounded size.
+    """
+    return partial(_built, uuid.uuid4().hex, spark.sparkContext.broadcast(payload), build)
