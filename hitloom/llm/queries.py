@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe
+from hitloom.llm import bpe, decontaminate, langid, simhash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -21,5 +21,40 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, F.col("text"), TOKENIZER, PATTERN).select("doc_id", "trip.*")
 
 
-QUERIES = {"op3_bpe": op3_bpe}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match_items(docs, F.col("text"), table(spark, sf_dir, "benchmark"))
+    n_hit, items = decontaminate.removed(F.col("match")), F.col("match")["items"]
+    return found.select(
+        "doc_id",
+        "match.n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.held_out(F.col("doc_id"))
+    fitted = langid.fit(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    found = langid.identify(docs.select("doc_id", "text"), F.col("text"), fitted)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_bpe": op3_bpe,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_langid": op8_langid,
+}
 ORACLE: dict[str, str] = {}
