@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hitloom.llm.store import on_workers, saved
+from hitloom.llm.store import beside, on_workers, saved
 
 PER_LANGUAGE = 3000
 MAX_WORDS = 40_000
@@ -95,7 +95,7 @@ def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
     sizes = rows.groupBy("lang").count()
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     # Twice the share that is wanted first, so few texts meet for the exact cut.
-    near = rows.join(sizes, "lang").where(part * F.col("count") <= 2 * per_language).drop("count")
+    near = beside(rows, sizes, ["lang"], "inner").where(part * F.col("count") <= 2 * per_language).drop("count")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).drop("_rank")
 
