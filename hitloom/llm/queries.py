@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, simhash
+from hitloom.llm import bpe, decontaminate, langid, pii, simhash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -41,6 +41,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, F.col("text"), pii.fit(docs, F.col("text")))
+    base = F.col("pii")["base"]
+    of_kind = lambda rank: F.size(F.filter(base, lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id",
+        *[of_kind(rank).alias(f"n_{kind}") for rank, kind in enumerate(pii.FORMATS)],
+        F.sha2(pii.named(base), 256).alias("base_sha256"),
+        pii.named(F.col("pii")["spans"]).alias("spans"),
+    )
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.held_out(F.col("doc_id"))
@@ -55,6 +68,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op5_pii": op5_pii,
     "op8_langid": op8_langid,
 }
 ORACLE: dict[str, str] = {}
