@@ -64,11 +64,18 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op8_langid": op8_langid,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {}
