@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, pii, simhash
+from hitloom.llm import bpe, decontaminate, langid, pii, simhash, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -21,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, F.col("text"), TOKENIZER, PATTERN).select("doc_id", "trip.*")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -71,6 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
@@ -78,4 +83,20 @@ QUERIES = {
     "op8_langid": op8_langid,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+            select q.vec_id as query_id, p.vec_id,
+                cast(list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2])) as bigint) as score
+            from v q join v p on q.vec_id <> p.vec_id
+            where q.vec_id % 50 = 0),
+        r as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
+            from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+}
