@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, pii, simhash, topk
+from hitloom.llm import bpe, decontaminate, langid, pii, simhash, topk, warc
+from hitloom.llm.store import saved
+from hitloom.session import scratch_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -68,6 +70,20 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = saved(warc.read_records(spark, path).drop("payload"), "records")
+    found = warc.resolved(warc.transactions(records))
+    return found.select(
+        F.col("metadata.page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        F.coalesce("payload_sha256", "digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_page").alias("refers_to"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +97,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op8_langid": op8_langid,
+    "op10_warc": op10_warc,
     "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
@@ -99,4 +116,14 @@ ORACLE: dict[str, str] = {
             select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
             from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op10_warc": """
+        with p as (
+            select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages),
+        f as (
+            select digest, min(page_id) as first from p where n >= 100 group by digest having count(*) > 1)
+        select page_id, n as payload_bytes, p.digest as payload_digest,
+            case when first is not null and (page_id is null or page_id > first) then 'revisit' else 'response' end
+                as record_type,
+            case when first is not null and (page_id is null or page_id > first) then first end as refers_to
+        from p left join f on p.digest = f.digest""",
 }
