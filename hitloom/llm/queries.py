@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, pii, simhash, topk, warc
+from hitloom.llm import bpe, decontaminate, langid, pii, sharding, simhash, topk, warc
 from hitloom.llm.store import saved
 from hitloom.session import scratch_dir
 
@@ -70,6 +70,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_by_bytes(docs, F.col("text"), 16).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -97,6 +110,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op8_langid": op8_langid,
+    "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
     "pipeline": pipeline,
 }
