@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, pii, sharding, simhash, topk, warc
+from hitloom.llm import bpe, decontaminate, langid, pii, sharding, simhash, topk, training_order, warc
 from hitloom.llm.store import saved
 from hitloom.session import scratch_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+ORDER_KEY = 20_240_601
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "shards")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training_order.materialise(docs, F.col("text"), path, TOKENIZER, PATTERN, key=ORDER_KEY)
+    return training_order.read_shards(spark, path, with_ids=False).drop("ids")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.held_out(F.col("doc_id"))
@@ -109,6 +117,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
+    "op6_training_order": op6_training_order,
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
