@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, pii, sharding, simhash, topk, training_order, warc
+from hitloom.llm import bpe, decontaminate, langid, licenses, pii, sharding, simhash, topk, training_order, warc
 from hitloom.llm.store import saved
 from hitloom.session import scratch_dir
 
@@ -68,6 +68,21 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.read_shards(spark, path, with_ids=False).drop("ids")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
+    starts = F.col("license")["starts"]
+    return found.select(
+        "doc_id",
+        "license.n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("license.base", ",").alias("base_labels"),
+        F.array_join("license.labels", ",").alias("labels"),
+        "license.score",
+    )
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.held_out(F.col("doc_id"))
@@ -118,6 +133,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op6_training_order": op6_training_order,
+    "op7_licenses": op7_licenses,
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
