@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.text import let, trim_space
 
-# A count of at most seven digits, a unit, then anything.
-RELATIVE = r"^([+\-]?[0-9]{1,7})\s+(\S+)"
+# A count, a unit, then anything.
+RELATIVE = r"^([+\-]?[0-9]+)\s+(\S+)"
+# Ten thousand years: a larger shift leaves the range of timestamps from any date.
+MAX_SECONDS, MAX_MONTHS = 315_576_000_000, 120_000
 
 
 def utc_now() -> Column:
@@ -32,8 +34,8 @@ def _months_before(as_of: Column, months: Column) -> Column:
 def parse_result_date(text: Column, as_of: Column | None = None) -> Column:
     """``Mar 15, 2026`` or ``<n> minute(s)|hour|day|week|month|year ...`` before ``as_of``.
 
-    Anything else is null. Counts are limited to seven digits (months and years to
-    four), which keeps every result inside the timestamp range.
+    Anything else is null. A count may have any number of digits; a result outside
+    the years 1 to 9999 is null.
     """
     now = (utc_now() if as_of is None else as_of).cast("timestamp_ntz")
 
@@ -45,13 +47,13 @@ def parse_result_date(text: Column, as_of: Column | None = None) -> Column:
             .when(unit == "day", F.lit(86400))
             .when(unit == "week", F.lit(604800))
         )
-        elapsed = F.make_dt_interval(secs=(n.cast("long") * seconds).cast("decimal(18,0)"))
-        months = F.when(unit == "month", n).when(unit == "year", n * 12)
-        return F.when(
-            unit.isin("minute", "hour", "day", "week"), now - elapsed
-        ).when(
-            unit.isin("month", "year") & (F.abs(n) <= 9999), _months_before(now, months)
-        )
+        total = F.try_multiply(n, seconds.cast("long"))
+        near = F.when(total.between(-MAX_SECONDS, MAX_SECONDS), total)
+        elapsed = F.make_dt_interval(secs=near.cast("decimal(18,0)"))
+        months = F.when(unit == "month", n).when(unit == "year", F.try_multiply(n, F.lit(12).cast("long")))
+        shift = F.when(months.between(-MAX_MONTHS, MAX_MONTHS), months).cast("int")
+        shifted = F.when(near.isNotNull(), now - elapsed).when(shift.isNotNull(), _months_before(now, shift))
+        return let(shifted, lambda at: F.when(F.year(at).between(1, 9999), at))
 
     def parse(s: Column) -> Column:
         spaced = F.regexp_replace(s, " +", " ")
@@ -59,7 +61,7 @@ def parse_result_date(text: Column, as_of: Column | None = None) -> Column:
         day = F.try_to_date(F.when(is_day, spaced), "MMM d, yyyy").cast("timestamp_ntz")
         number = F.nullif(F.regexp_extract(s, RELATIVE, 1), F.lit(""))
         unit = F.lower(F.rtrim(F.regexp_extract(s, RELATIVE, 2), F.lit("s")))
-        parts = F.struct(number.cast("int").alias("n"), unit.alias("unit"))
+        parts = F.struct(number.try_cast("bigint").alias("n"), unit.alias("unit"))
         ago = F.when(s.rlike("^[+0-9-]"), let(parts, relative))
         return F.when(s.rlike("^[A-Za-z]"), day).otherwise(ago)
 

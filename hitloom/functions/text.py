@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,32 +85,46 @@ def format_cents(value: Column) -> Column:
 
 # Entities that end with a semicolon, and those that do without. The ampersand's own
 # comes last, so that "&amp;lt;" reads "&lt;".
-ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]{1,9}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
-BARE_ENTITY = r"&(?:[A-Za-z]{2,6}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6})(?![A-Za-z0-9;])"
-AMPERSAND = r"&(?:amp|AMP|#0{0,5}38|#[xX]0{0,4}26);?"
+ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]+|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+BARE_ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]+|#[0-9]+|#[xX][0-9A-Fa-f]+)(?![A-Za-z0-9;])"
+AMPERSAND = r"&(?:amp|AMP|#0*38|#[xX]0*26);?"
+# Numbers 128 to 159 mean the characters of Windows-1252; five have none there.
+WINDOWS_1252 = {
+    code: ord(bytes([code]).decode("cp1252", "ignore")) for code in range(128, 160) if bytes([code]).decode("cp1252", "ignore")
+}
 
 
 def _entity_char(entity: Column) -> Column:
-    """The character an entity stands for; null when it is unknown or the ampersand.
+    """The text an entity stands for; null when it is unknown or the ampersand.
 
-    Without a semicolon only the old names count: Latin-1 and the markup characters.
+    Without a semicolon only the old names count. A number beyond the characters gives
+    U+FFFD, as in a browser; zero stays as it is.
     """
-    known = [(f"&{name};", code) for name, code in name2codepoint.items()]
-    known += [(f"&{n}", c) for n, c in name2codepoint.items() if c < 256 or n in ("lt", "gt")]
-    names = F.split(F.lit(" ".join(n for n, _ in known)), " ")
-    codes = F.split(F.lit(" ".join(str(c) for _, c in known)), " ")
-    digits = F.regexp_extract(entity, "^&#[xX]?([A-Za-z0-9]+);?$", 1)
-    number = (
-        F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10))
-        .when(entity.rlike("^&#"), digits)
-        .otherwise(F.try_element_at(F.map_from_arrays(names, codes), entity))
-    )
-
-    def char(code: Column) -> Column:
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-
-    return let(number.cast("int"), char)
+    known = {f"&{name}": text for name, text in html5.items() if text != "&"}
+    names = F.split(F.lit(" ".join(known)), " ")
+    texts = F.transform(F.split(F.lit(" ".join(t.encode("utf-16-be").hex() for t in known.values())), " "), _from_hex)
+    named = F.try_element_at(F.map_from_arrays(names, texts), entity)
+    digits = F.regexp_extract(entity, "^&#[xX]?0*([A-Fa-f0-9]*);?$", 1)
+    hexadecimal = entity.rlike("^&#[xX]")
+    # A code point has at most six hexadecimal and seven decimal digits, after zeros.
+    code = F.when(
+        F.length(digits) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.nullif(digits, F.lit("")))
+    ).cast("long")
+    old = F.map_from_arrays(*[F.array(*map(F.lit, xs)) for xs in zip(*WINDOWS_1252.items())])
+
+    def char(n: Column) -> Column:
+        valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        known_code = F.coalesce(F.when(n.between(128, 159), F.try_element_at(old, n.cast("int"))), n)
+        text = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, known_code)), 8, "0")), "UTF-32")
+        return F.when(~n.isin(0, 38), F.coalesce(text, F.lit("\ufffd")))
+
+    beyond = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(F.lit(0))
+    number = let(F.coalesce(code, beyond.cast("long")), char)
+    return F.when(entity.rlike("^&#"), number).otherwise(named)
+
+
+def _from_hex(digits: Column) -> Column:
+    return F.decode(F.unhex(digits), "UTF-16BE")
 
 
 def decode_entities(text: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from hitloom.functions.keys import page_key
 from hitloom.operators.cache import live_entries
 
 NO_SNAPSHOT = "navigate: no snapshot"
@@ -33,7 +33,8 @@ def attach_pages(
 ) -> DataFrame:
     """Records with the body of their exact URL.
 
-    ``snapshots`` has one row per URL (see ``pick_snapshot``). With a page ``cache``
+    Of several snapshots or live entries of a URL the one scraped last counts (to choose
+    by readiness see ``pick_snapshot``). With a page ``cache``
     a live entry wins over the snapshot: its title overwrites even when empty, and
     ``reset_error`` clears error and content too. A fetched title overwrites only
     when it is not empty. A record without a URL passes unchanged; a URL with no
@@ -54,10 +55,21 @@ def attach_pages(
 
 def _keyed_pages(pages: DataFrame, name: str, from_cache: bool) -> DataFrame:
     fields = ["title", "raw_html", "scraped_at", "error"]
-    return pages.select(
+    keyed = pages.select(
         F.col("url").alias("_key"),
         F.struct(*fields, F.lit(from_cache).alias("from_cache")).alias(name),
     )
+    return latest_page(keyed, F.col(name))
+
+
+def latest_page(pages: DataFrame, page: Column, *rest: Column) -> DataFrame:
+    """One row per ``_key``: the page scraped last, ties by the other fields.
+
+    The rows are dealt by the key, as the join with them asks, and a map task passes on
+    one row per key, so a URL captured very often stays cheap.
+    """
+    newest = Window.partitionBy("_key").orderBy(F.desc(page["scraped_at"]), page, *rest)
+    return pages.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
 
 
 def apply_page(joined: DataFrame, columns: list[str], reset_error: bool) -> DataFrame:
@@ -86,11 +98,6 @@ def apply_page(joined: DataFrame, columns: list[str], reset_error: bool) -> Data
     )
 
 
-def page_cache_rows(pages: DataFrame) -> DataFrame:
-    """Fetched pages with the key their cache entry has."""
-    return pages.withColumn("cache_key", page_key(F.col("url")))
-
-
 def pick_snapshot(
     captures: DataFrame, min_chars: int = MIN_CHARS, poll_seconds: int = POLL_SECONDS
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DEFAULT_TTL = 300
 
@@ -51,8 +52,23 @@ def delete_entries(cache: DataFrame, keys: DataFrame) -> DataFrame:
     return cache.join(listed, "cache_key", "left_anti")
 
 
-def upsert_entries(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or replace whole entries."""
+def one_row_entries(new: DataFrame, version: str = "expires_at") -> DataFrame:
+    """One row per ``cache_key``, as a page cache has: the highest ``version``, ties by the other columns."""
+    rest = [F.desc(c) for c in sorted(new.columns) if c not in ("cache_key", version)]
+    newest = Window.partitionBy("cache_key").orderBy(F.desc(version), *rest)
+    return new.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+
+
+def upsert_entries(cache: DataFrame, new: DataFrame, rows_per_entry: str = "many") -> DataFrame:
+    """Insert or replace whole entries.
+
+    ``rows_per_entry="one"`` (a page cache) keeps one new row per key, the one that
+    expires last.
+    """
+    if rows_per_entry not in ("one", "many"):
+        raise ValueError(f"unknown rows_per_entry {rows_per_entry!r}")
+    if rows_per_entry == "one":
+        new = one_row_entries(new)
     kept = delete_entries(cache, new)
     return kept.unionByName(new, allowMissingColumns=True)
 

@@ -300,7 +300,9 @@ def fresh_page_entries(spark, d) -> DataFrame:
 
 
 def cache_upsert(spark, d):
-    rows = upsert_entries(inputs.page_cache(spark, d), fresh_page_entries(spark, d))
+    fresh = fresh_page_entries(spark, d)
+    older = fresh.withColumn("expires_at", F.col("expires_at") - 10).withColumn("title", F.lit("older"))
+    rows = upsert_entries(inputs.page_cache(spark, d), fresh.unionByName(older), rows_per_entry="one")
     return rows.select("cache_key", "url", "title", "scraped_at", "expires_at")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions.html import sanitize_html
-from hitloom.operators.attach import apply_page, url_join_key
+from hitloom.operators.attach import apply_page, latest_page, url_join_key
 from hitloom.operators.cache import cached_and_fresh
 from hitloom.operators.extract import extract_hits
 from hitloom.operators.merge import (
@@ -18,6 +18,9 @@ from hitloom.operators.merge import (
 from hitloom.operators.records import to_records
 from hitloom.operators.rules import DEFAULT_RULES, engine_names
 from hitloom.operators.sanitize import MAX_CHARS, apply_sanitized
+from hitloom.session import scratch_dir
+
+WANTED_ROWS = 200_000
 
 
 def search_hits(
@@ -51,23 +54,37 @@ def search_cached(
     """Planned requests to ranked records, from the cache where it answers.
 
     ``fetched`` holds the hits of captured pages; only those of unanswered requests
-    take part. The total is taken in the same pass, so the cache is joined once.
+    take part. The total is taken in the same pass as the ranking.
     """
     hits = cached_and_fresh(requests, cache, fetched, now, use_cache, refresh)
     return search_hits(hits, limit, engines, total="salted")
 
 
+def _wanted_pages(records: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The snapshots that a record wants.
+
+    Up to ``WANTED_ROWS`` URLs are counted and broadcast, so the crawl is filtered where it
+    is read; more of them meet the crawl in a shuffled (or bucketed) semi-join.
+    """
+    wanted = records.where(F.coalesce(F.col("url"), F.lit("")) != "").select("url").distinct()
+    if wanted.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS:
+        wanted = F.broadcast(wanted)
+    return snapshots.join(wanted, "url", "left_semi")
+
+
 def attach_text(
     records: DataFrame, snapshots: DataFrame, max_chars: int = MAX_CHARS,
     keep_raw: bool = False, extractor=None, unit: str = "bytes",
 ) -> DataFrame:
     """Records with the text of their pages.
 
-    The text is taken where the bodies are read, once per URL: what travels to the
-    join is the cut text, and of the body a one-character mark that there was one
-    (the body itself only with ``keep_raw``). For a crawl much larger than the
-    results, semi-join ``snapshots`` with their URLs first.
+    Only the bodies that a record wants are extracted: a semi-join with the wanted URLs
+    stands between the crawl and the extraction. Of several captures of a URL the one
+    scraped last counts. What travels to the join is the cut text, and of the body a
+    one-character mark that there was one (the body itself only with ``keep_raw``).
+    ``records`` are read twice: store them first when they are dear (see ``run_search``).
     """
+    snapshots = _wanted_pages(records, snapshots)
     body = F.col("raw_html")
     mark = F.when(F.coalesce(body, F.lit("")) != "", F.lit("x"))
     pages = snapshots.select(
@@ -78,6 +95,7 @@ def attach_text(
         ).alias("_page"),
         sanitize_html(body, max_chars, extractor, unit).alias("_text"),
     )
+    pages = latest_page(pages, F.col("_page"), F.col("_text"))
     joined = records.withColumn("_key", url_join_key(records.columns)).join(
         pages, "_key", "left"
     )
@@ -91,6 +109,14 @@ def run_search(
     rules=DEFAULT_RULES, as_of: Column | None = None, max_chars: int = MAX_CHARS,
     keep_raw: bool = False, extractor=None, unit: str = "bytes",
 ) -> DataFrame:
-    """Result pages and page snapshots to ranked records with text, one lazy plan."""
-    records = search_pages(result_pages, limit, rules, as_of)
+    """Result pages and page snapshots to ranked records with text.
+
+    The ranked records, which are few, are stored in the shared folder, so that result
+    pages are parsed once though both the wanted URLs and the answer come from them.
+    """
+    spark = result_pages.sparkSession
+    path = scratch_dir(spark, "ranked")
+    ranked = search_pages(result_pages, limit, rules, as_of)
+    ranked.write.parquet(path)
+    records = spark.read.schema(ranked.schema).parquet(path)
     return attach_text(records, snapshots, max_chars, keep_raw, extractor, unit)

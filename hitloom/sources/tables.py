@@ -10,31 +10,23 @@ from pyspark.sql import types as T
 from hitloom.schemas import RESULT_CACHE, RESULT_PAGE, SNAPSHOT
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than the cluster has cores.
-
-    Parsing and cutting HTML costs far more per byte than moving it, so a few big
-    splits would leave most cores idle. A scan with enough splits stays as it is:
-    a large table is never shuffled here. For a plain scan only, as counting the
-    splits of a plan with shuffles would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    few = scan.rdd.getNumPartitions() < cores
-    return scan.repartition(cores) if few else scan
+def _read(spark: SparkSession, path: str, schema: T.StructType, partitions: int | None) -> DataFrame:
+    scan = spark.read.schema(schema).parquet(path)
+    return scan.repartition(partitions) if partitions else scan
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spread_scan(spark.read.schema(schema).parquet(path))
+def read_result_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Captured engine pages: query_id, engine, page, http_status, html.
 
-
-def read_result_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured engine pages: query_id, engine, page, http_status, html."""
-    return _read(spark, path, RESULT_PAGE)
+    ``partitions`` deals the rows out anew, for a table of a few large splits; the size of
+    splits is set by ``spark.sql.files.maxPartitionBytes``.
+    """
+    return _read(spark, path, RESULT_PAGE, partitions)
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Captured page bodies: url, title, raw_html, scraped_at, error."""
-    return _read(spark, path, SNAPSHOT)
+    return _read(spark, path, SNAPSHOT, partitions)
 
 
 def save_snapshots(snapshots: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:

@@ -104,6 +104,12 @@ DATES = [
     ("1 month ago", dt.datetime(2026, 3, 3, 12, 30, 15)),
     ("2 years ago", dt.datetime(2024, 3, 31, 12, 30, 15)),
     ("-1 day", NOW + dt.timedelta(days=1)),
+    ("12345678 minutes ago", NOW - dt.timedelta(minutes=12345678)),
+    ("0000000003 days ago", NOW - dt.timedelta(days=3)),
+    ("10000 months ago", dt.datetime(1192, 12, 1, 12, 30, 15)),
+    ("99999999999999999999999 days ago", None),
+    ("-9223372036854775808 weeks", None),
+    ("9000 years ago", None),
     ("", None),
     ("garbage text", None),
     ("5", None),
@@ -231,7 +237,9 @@ def test_decode_entities(spark):
         ("&#8364;&#x20AC;&euro;", "€€€"), ("&#x1F600;", "😀"), ("&bogus; &copy;", "&bogus; ©"),
         ("&#0;", "&#0;"), ("no entity", "no entity"), ("AT&T", "AT&T"), ("&amp;&amp;", "&&"),
         ("&copy 2024 &amp", "© 2024 &"), ("&euro 5", "&euro 5"), ("&#8364 5", "€ 5"),
-        ("&lt&gt", "<>"), ("&ampx", "&x"),
+        ("&lt&gt", "<>"), ("&ampx", "&x"), ("it&apos;s &lbrace;", "it's {"), ("&#146;", "’"), ("&frac12 &frac12;", "½ ½"),
+        ("&#x0000000041;&#0000000065;", "AA"), ("&#99999999999999999999;&#x110000;&#xD800;", "\ufffd\ufffd\ufffd"),
+        ("&CounterClockwiseContourIntegral;", "∳"), ("&NotEqualTilde;", "≂̸"), ("&#x26;lt;", "&lt;"), ("&#129;", "\x81"),
     ]
     assert column(spark, [c for c, _ in cases], decode_entities) == [w for _, w in cases]
 

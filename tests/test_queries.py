@@ -8,7 +8,7 @@ from compare import connect, difference
 import __spark_entry__ as entry_points
 from hitloom.operators.merge import merge_hits, rank_results, within_page_limit
 from hitloom.plans import inputs
-from hitloom.plans.run import attach_text, run_search
+from hitloom.plans.run import attach_text, run_search, search_pages
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {
@@ -65,11 +65,22 @@ def test_ranking_cuts_before_the_shuffle(stored):
 
 
 def test_pages_are_parsed_once(stored):
+    ranked = plan_of(search_pages(stored["result_pages"], 20))
+    assert len(re.findall(r"ArrowEvalPython", ranked)) == 1
+    # The answer starts from the stored ranking: it parses nothing again.
     plan = plan_of(run_search(stored["result_pages"], stored["snapshots"], 20))
-    assert len(re.findall(r"ArrowEvalPython", plan)) == 1
+    assert "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_only_wanted_bodies_are_extracted(stored):
+    """No extraction stands below the semi-join with the wanted URLs."""
+    plan = run_search(stored["result_pages"], stored["snapshots"], 20)._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "LeftSemi" in line or "content_md" in line and "Project" in line]
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert semi > 0 and not any("regexp" in line for line in lines[semi + 1 :])
+
+
 def test_bodies_do_not_reach_the_join(spark, stored):
     """Between the scan of the bodies and the join, no shuffle carries raw HTML."""
     records = inputs.page_records(spark, SF).drop("page_id", "raw_html", "content_md")
