@@ -29,13 +29,13 @@ ENDS = {tag: (("p",), SCOPES) for tag in BLOCKS} | {
     "td": (("td", "th"), frozenset({"tr", "table"})),
     "th": (("td", "th"), frozenset({"tr", "table"})),
 }
-RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript"
-
-TOKEN = re.compile(
-    rf"<!--.*?-->|<({RAW_TEXT})\b[^>]*>.*?</\1\s*>|<[!?][^>]*>"
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""",
-    re.S | re.I,
+RAW_TEXT = frozenset(
+    "script style textarea title xmp iframe noembed noframes noscript".split()
 )
+
+TAG_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT}
 ATTRIBUTE = re.compile(
     r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""", re.S
 )
@@ -107,22 +107,61 @@ def _matches(stack: list[_Element], steps: list) -> bool:
     return True
 
 
-def _open_at(stack: list[_Element], tags, hidden_by) -> int | None:
+def _tokens(html: str):
+    """(start, end, closing slash, tag, attributes) of each piece of markup, in one scan.
+
+    Comments, declarations and elements of raw text have no tag here. An open comment
+    runs to the end of the page; a raw-text element that is never closed is an ordinary
+    tag, and its closing tag is looked for once.
+    """
+    at, unclosed = 0, set()
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            stop = html.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else len(html)
+            yield start, at, None, None, None
+            continue
+        name = TAG_NAME.match(html, start)
+        stop = html.find(">", start)
+        if stop < 0:
+            return
+        if name is None:
+            at = start + 1
+            if html[at] in "!?":
+                at = stop + 1
+                yield start, at, None, None, None
+            continue
+        closing, tag = name[1], name[2].lower()
+        if not closing and tag in RAW_TEXT and tag not in unclosed:
+            end = RAW_END[tag].search(html, stop + 1)
+            if end:
+                at = end.end()
+                yield start, at, None, None, None
+                continue
+            unclosed.add(tag)
+        quoted = TAG_END.match(html, name.end())
+        at = quoted.end() if quoted else stop + 1
+        yield start, at, closing, tag, html[name.end() : at - 1]
+
+
+def _open_at(places: dict, tags, hidden_by) -> int | None:
     """Place of the nearest open element among ``tags``, none beyond ``hidden_by``."""
-    for at in range(len(stack) - 1, -1, -1):
-        if stack[at].tag in tags:
-            return at
-        if stack[at].tag in hidden_by:
-            return None
-    return None
+    nearest = max((places[t][-1] for t in tags if places.get(t)), default=None)
+    if nearest is None:
+        return None
+    hidden = max((places[t][-1] for t in hidden_by if places.get(t)), default=-1)
+    return nearest if nearest >= hidden else None
 
 
 def _raw_hits(html: str, rule: Rule) -> list[dict]:
     """One walk over the tags with the open elements, open hits and open texts."""
     container, fields = _selectors(rule)
     stack, open_hits, open_texts, hits = [], [], [], []
+    places = {}  # of the open elements, by name
 
     def close_from(depth):
+        for element in stack[depth:]:
+            places[element.tag].pop()
         del stack[depth:]
         while open_hits and open_hits[-1][0] > depth:
             open_hits.pop()
@@ -130,27 +169,25 @@ def _raw_hits(html: str, rule: Rule) -> list[dict]:
             open_texts.pop()
 
     at = 0
-    for token in TOKEN.finditer(html):
-        start, end = token.span()
+    for start, end, closing, tag, attr_text in _tokens(html):
         if open_texts and start > at:
             text = unescape(html[at:start])
             for _, pieces in open_texts:
                 pieces.append(text)
         at = end
-        closing, tag, attr_text = token.group(2, 3, 4)
         if tag is None:
             continue
-        tag = tag.lower()
         if closing:
-            found = _open_at(stack, (tag,), SCOPES if tag in BLOCKS else BLOCKS)
+            found = _open_at(places, (tag,), SCOPES if tag in BLOCKS else BLOCKS)
             if found is not None:
                 close_from(found)
             continue
         if tag in ENDS:
-            found = _open_at(stack, *ENDS[tag])
+            found = _open_at(places, *ENDS[tag])
             if found is not None:
                 close_from(found)
         element = _Element(tag, attr_text)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(element)
         depth = len(stack)
         if open_hits:

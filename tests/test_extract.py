@@ -1,6 +1,7 @@
 """Hit extraction: the four rules, filters, numbering, broken HTML, page status."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,25 @@ def test_nested_texts_join():
     html = '<div class=c><a href=u></a><i class="t x">1</i><i class=t>2</i><div class=s><b><span>3</span></b></div></div>'
     hit = page_hits(html, rule)[0]
     assert (hit["url"], hit["title"], hit["snippet"]) == ("u", "12", "3")
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script>", "<style>", '<div class="snippet">', '<a x="', "<p><table><div>"])
+def test_broken_pages_take_linear_time(unit):
+    def seconds(n):
+        page = unit * n
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            page_hits(page, DEFAULT_RULES[0])
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(16_000) < 8 * seconds(4_000) + 0.2
+
+
+def test_open_markup():
+    page = '<div class="snippet"><a href="https://a.b/c"></a><div class="title">T</div></div>'
+    rule = DEFAULT_RULES[0]
+    assert page_hits(page + "<!-- " + page, rule) == page_hits(page, rule)
+    assert len(page_hits(page + "<script> " + page, rule)) == 2
+    assert len(page_hits(page + "<script> " + page + "</script>" + page, rule)) == 2
