@@ -28,6 +28,7 @@ from hitloom.operators.cache import (
     live_entries,
     lookup_results,
     page_entries,
+    one_row_entries,
     purge_all,
     purge_expired,
     result_entries,
@@ -37,7 +38,6 @@ from hitloom.operators.cache import (
 )
 from hitloom.operators.extract import extract_hits, page_status, warnings
 from hitloom.operators.merge import (
-    expand_positions,
     merge_hits,
     pages_for_limit,
     position_lists,
@@ -61,6 +61,7 @@ from hitloom.plans.run import (
 from hitloom.session import tune
 from hitloom.sources.ndjson import read_records, write_records
 from hitloom.sources.tables import (
+    clear_cache,
     commit_version,
     read_cache,
     read_result_pages,

@@ -1,7 +1,7 @@
 """Main text and metadata of a page, as a chain of built-in regular expressions.
 
-The patterns use no look-around and no back-reference, so every linear-time regex
-engine gives the same text.
+The patterns of the text use no look-around and no back-reference, so every linear-time
+regex engine gives the same text.
 """
 
 from __future__ import annotations
@@ -33,16 +33,12 @@ LINE_EDGES = r" ?\n[ \n]*"
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
-DATE_META = (
-    r'(?is)<meta\b[^>]*(?:property|name|itemprop)="(?:article:published_time|datePublished|'
-    r'date|pubdate|publish_date|dc\.date)"[^>]*\bcontent="([^"]*)"'
-)
-DATE_META_REVERSED = (
-    r'(?is)<meta\b[^>]*\bcontent="([^"]*)"[^>]*(?:property|name|itemprop)="'
-    r'(?:article:published_time|datePublished|date|pubdate|publish_date|dc\.date)"'
-)
-DATE_TIME = r'(?is)<time\b[^>]*\bdatetime="([^"]*)"'
-DATE_TAGS = r"(?is)<(?:meta|time)\b[^>]*>"
+# Names of metadata that hold a publication date.
+DATE_NAMES = "article:published_time datepublished date pubdate publish_date dc.date".split()
+META_TAGS = r"(?is)<meta\b[^>]*>"
+TIME_TAGS = r"(?is)<time\b[^>]*>"
+JSON_LD = r"(?is)<script\b[^>]*application/ld\+json[^>]*>([^<]*)<"
+JSON_DATE = r'"datePublished"\s*:\s*"([^"]*)"'
 ISO_DAY = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})"
 
 
@@ -60,28 +56,55 @@ def main_text(html: Column, links: bool = False) -> Column:
     return F.trim(text, F.lit(" \n"))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in double, single or no quotes; empty when it is absent."""
+    value = F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.trim(value, F.lit("\"'"))
+
+
+def _meta(html: Column, names: list[str]) -> Column:
+    """Contents of the meta tags of these names (lower case), in document order."""
+    keys = ("property", "name", "itemprop")
+    tags = F.filter(
+        F.regexp_extract_all(html, F.lit(META_TAGS), F.lit(0)),
+        lambda tag: F.exists(F.array(*[F.lower(_attribute(tag, k)) for k in keys]), lambda v: v.isin(names)),
+    )
+    return F.transform(tags, lambda tag: _attribute(tag, "content"))
+
+
 def page_title(html: Column) -> Column:
-    """Text of the title element, else of the first heading; null when both are empty."""
+    """Title the page declares for sharing, else of its title element, else its first heading."""
+
+    def cleaned(text: Column) -> Column:
+        return F.nullif(trim_space(decode_entities(text)), F.lit(""))
 
     def text_of(pattern: str) -> Column:
-        inner = F.regexp_replace(F.regexp_extract(html, pattern, 1), TAG, "")
-        return F.nullif(trim_space(decode_entities(inner)), F.lit(""))
+        return cleaned(F.regexp_replace(F.regexp_extract(html, pattern, 1), TAG, ""))
 
-    return F.coalesce(text_of(TITLE), text_of(HEADING))
+    shared = cleaned(F.get(_meta(html, ["og:title"]), F.lit(0)))
+    return F.coalesce(shared, text_of(TITLE), text_of(HEADING))
 
 
 def page_published(html: Column) -> Column:
-    """Publication day from the document's own metadata, as UTC wire text."""
+    """Publication day from the document's own metadata, as UTC wire text.
 
-    def first_day(tags: Column) -> Column:
-        def day_of(pattern: str) -> Column:
-            day = F.regexp_extract(F.regexp_extract(tags, pattern, 1), ISO_DAY, 1)
-            return F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "yyyy-MM-dd'T00:00:00Z'")
+    Looked for in meta tags, then in structured data (JSON-LD), then in time elements.
+    """
 
-        return F.coalesce(day_of(DATE_META), day_of(DATE_META_REVERSED), day_of(DATE_TIME))
+    def first_day(values: Column) -> Column:
+        day = lambda v: F.try_to_date(F.regexp_extract(v, ISO_DAY, 1), "yyyy-MM-dd")
+        days = F.filter(F.transform(values, day), lambda d: d.isNotNull())
+        return F.date_format(F.get(days, F.lit(0)), "yyyy-MM-dd'T00:00:00Z'")
 
-    found = F.regexp_extract_all(html, F.lit(DATE_TAGS), F.lit(0))
-    return let(F.array_join(found, ""), first_day)
+    blocks = F.array_join(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)), " ")
+    times = F.transform(
+        F.regexp_extract_all(html, F.lit(TIME_TAGS), F.lit(0)), lambda tag: _attribute(tag, "datetime")
+    )
+    return F.coalesce(
+        first_day(_meta(html, DATE_NAMES)),
+        first_day(F.regexp_extract_all(blocks, F.lit(JSON_DATE), F.lit(1))),
+        first_day(times),
+    )
 
 
 def page_metadata(html: Column) -> Column:

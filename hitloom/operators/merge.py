@@ -109,7 +109,6 @@ def position_lists(hits: DataFrame, engines=None) -> DataFrame:
 
     Equal slots are counted before anything is collected, so the list is as long as
     the number of distinct (page, engine, position) slots, whatever the row count.
-    ``expand_positions`` gives the plain list.
     """
     slots = (
         hits.filter(F.col("position").isNotNull())
@@ -128,12 +127,6 @@ def position_lists(hits: DataFrame, engines=None) -> DataFrame:
     )
 
 
-def expand_positions(runs: Column) -> Column:
-    return F.flatten(
-        F.transform(runs, lambda r: F.array_repeat(r["position"], r["n"].cast("int")))
-    )
-
-
 def result_order() -> list[Column]:
     """Score, then number of engines, then first seen. Sums are compared to nine digits."""
     return [

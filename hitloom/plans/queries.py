@@ -22,14 +22,15 @@ from hitloom.operators.cache import (
     cache_stats,
     cached_and_fresh,
     delete_entries,
+    lookup_results,
     page_entries,
     purge_expired,
+    result_entries,
     split_cached,
     upsert_entries,
 )
 from hitloom.operators.extract import extract_hits, page_status, raw_hits, warnings
 from hitloom.operators.merge import (
-    expand_positions,
     merge_hits,
     position_lists,
     rank_results,
@@ -55,7 +56,7 @@ from hitloom.plans.run import (
 from hitloom.schemas import PAGE_CACHE
 from hitloom.session import scratch_dir
 from hitloom.sources.ndjson import read_records, write_records
-from hitloom.sources.tables import read_cache
+from hitloom.sources.tables import clear_cache, commit_version, read_cache
 from hitloom.streaming.stages import (
     stream_attach_pages,
     stream_cache_upkeep,
@@ -87,9 +88,11 @@ def merged_rows(spark, d):
 
 
 def positions(spark, d):
+    """Positions in first-seen order; ``5x2`` is position 5 twice in one slot."""
     lists = position_lists(inputs.hits(spark, d))
-    plain = expand_positions(F.col("positions"))
-    return lists.select("query_id", "url_key", F.array_join(plain, ",").alias("positions"))
+    run = lambda r: F.concat_ws("x", r["position"].cast("string"), r["n"].cast("string"))
+    runs = F.array_join(F.transform("positions", run), ",")
+    return lists.select("query_id", "url_key", runs.alias("positions"))
 
 
 def ranked(spark, d):
@@ -198,19 +201,30 @@ def page_dates(spark, d):
     """Dates put into the heads of the pages, then read back."""
     p = F.col("page_id")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (p % 500).cast("int")), "yyyy-MM-dd")
-    tag = F.when(
-        p % 4 == 0,
-        F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T10:00:00Z">')),
-    ).when(
-        p % 4 == 1, F.concat(F.lit('<meta content="'), day, F.lit('" name="date">'))
-    ).when(
-        p % 4 == 2, F.concat(F.lit('<time datetime="'), day, F.lit('">'))
-    ).otherwise('<meta name="date" content="2024-02-30">')
+    # Around the day; the last two hold no date of publication.
+    forms = [
+        ('<meta property="article:published_time" content="', 'T10:00:00Z">'),
+        ('<meta content="', '" name="date">'),
+        ('<time datetime="', '">'),
+        ("<meta name='DatePublished' content='", "'>"),
+        ("<meta itemprop=pubdate content=", ">"),
+        ('<script type="application/ld+json">{"@type": "Article", "datePublished" : "', 'T08:00:00+02:00"}</script>'),
+        ('<meta data-name="date" content="', '">'),
+        ('<meta name="date" content="2024-02-30"><meta name="author" content="', '">'),
+    ]
+    tag = F.concat(
+        choose_text(p, [before for before, _ in forms]), day, choose_text(p, [after for _, after in forms]),
+        F.when(p % 3 == 0, F.concat(F.lit("<meta content='Shared &amp; told ' property='og:title'>"))).otherwise(""),
+    )
     html = F.replace("html", F.lit("</head>"), F.concat(tag, F.lit("</head>")))
     rows = table(spark, d, "pages").select("page_id", page_metadata(html).alias("m"))
     return rows.select("page_id", "m.title", "m.published_at")
 
 
+def choose_text(index, values):
+    return F.get(F.array(*map(F.lit, values)), (index % len(values)).cast("int"))
+
+
 NAV_LINKS = Rule(name="nav", rank=1, container="nav li", url="a[href]", title="a")
 
 
@@ -306,6 +320,32 @@ def cache_upsert(spark, d):
     return rows.select("cache_key", "url", "title", "scraped_at", "expires_at")
 
 
+def cache_store(spark, d):
+    """Fresh hits are stored and answer the same requests until they expire.
+
+    Pages without hits and hits of a run without cache are not stored.
+    """
+    keys = ["query_id", "engine", "page"]
+    asked = request_table(spark, d)
+    found = inputs.hits(spark, d).filter(F.col("page") < 5).join(asked, keys)
+    unused = result_entries(inputs.hits(spark, d).join(asked, keys), 300, NOW, use_cache=False)
+    entries = union_hits(result_entries(found, 300, NOW), unused)
+    at_last, later = (lookup_results(asked, entries, NOW + t) for t in (300, 301))
+    rows = union_hits(at_last, later)
+    return rows.select(*keys, "position", "url", "cached")
+
+
+def cache_purge_all(spark, d):
+    """Entries before and after the cache is emptied; emptying an absent cache is no error."""
+    root = scratch_dir(spark, "purge")
+    clear_cache(spark, root)
+    commit_version(inputs.result_cache(spark, d), root)
+    before = read_cache(spark, root).select(F.count("*").alias("before"))
+    stored = before.first()[0]
+    clear_cache(spark, root)
+    return read_cache(spark, root).select(F.lit(stored).cast("bigint").alias("before"), F.count("*").alias("after"))
+
+
 def cache_purge(spark, d):
     """Drop the entries of pages whose capture failed, then what expired."""
     failed = inputs.snapshots(spark, d).filter(F.col("error") != "")
@@ -478,7 +518,9 @@ QUERIES: dict[str, Query] = {
     "cache_lookup": cache_lookup,
     "cache_split": cache_split,
     "cache_upsert": cache_upsert,
+    "cache_store": cache_store,
     "cache_purge": cache_purge,
+    "cache_purge_all": cache_purge_all,
     "cache_stats": cache_statistics,
     "status_classes": status_classes,
     "status_summary": status_summary,

@@ -86,3 +86,8 @@ def read_cache(
     if missing:
         raise ValueError(f"cache at {root} lacks columns {sorted(missing)}")
     return table.select(*schema.fieldNames())
+
+
+def clear_cache(spark: SparkSession, root: str, schema: T.StructType = RESULT_CACHE) -> int:
+    """Commit the empty version, so that no entry answers any more; also where there is no table yet."""
+    return commit_version(spark.createDataFrame([], schema), root)

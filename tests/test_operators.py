@@ -13,7 +13,6 @@ from hitloom.functions.html import main_text, page_metadata, sanitize_html
 from hitloom.operators import cache as C
 from hitloom.operators.attach import NO_SNAPSHOT, attach_pages, pick_snapshot
 from hitloom.operators.merge import (
-    expand_positions,
     merge_hits,
     pages_for_limit,
     position_lists,
@@ -98,7 +97,7 @@ def test_positions_keep_duplicates(spark):
     rows = [hit(position=1), hit(engine="duckduckgo", position=2), hit(page=2, position=1),
             hit(page=2, position=1)]
     out = position_lists(hits_of(spark, *rows))
-    assert out.select(expand_positions(F.col("positions")).alias("p")).first()["p"] == [1, 2, 1, 1]
+    assert [tuple(run) for run in out.first()["positions"]] == [(1, 1), (2, 1), (1, 2)]
 
 
 def brute_rank(rows, limit):
@@ -462,3 +461,28 @@ def test_status(spark):
     out = {r["run_id"]: r for r in health_summary(classify_status(probes)).collect()}
     assert out[1]["summary"] == "1 check(s) failed, 4 warning(s)" and not out[1]["all_unreachable"]
     assert out[2]["all_unreachable"] and out[3]["summary"] == "All checks passed."
+
+
+def test_upsert_keeps_one_page_per_key(spark):
+    schema = "cache_key string, url string, title string, expires_at long"
+    old = spark.createDataFrame([("a", "u", "old", 5), ("b", "v", "kept", 5)], schema)
+    new = spark.createDataFrame([("a", "u", "new", 9), ("a", "u", "newer", 12), ("a", "u", "newer", 12)], schema)
+    got = sorted(tuple(r) for r in C.upsert_entries(old, new, rows_per_entry="one").collect())
+    assert got == [("a", "u", "newer", 12), ("b", "v", "kept", 5)]
+    with pytest.raises(ValueError):
+        C.upsert_entries(old, new, rows_per_entry="some")
+
+
+def test_one_answer_per_record(spark):
+    """Several captures of a URL, a record without URL: each record stays one row."""
+    records = spark.createDataFrame(
+        [("u", "t"), (None, "none"), ("", "empty"), ("w", "miss")], "url string, title string"
+    ).selectExpr("*", *[f"cast(null as string) {c}" for c in ("raw_html", "scraped_at", "content_md", "error")])
+    pages = spark.createDataFrame(
+        [("u", "first", "<p>1</p>", "2024-01-01", None), ("u", "last", "<p>2</p>", "2024-01-02", None), ("u", "last", "<p>2</p>", "2024-01-02", None)],
+        "url string, title string, raw_html string, scraped_at string, error string",
+    )
+    got = {r["url"]: r for r in attach_pages(records, pages).collect()}
+    assert len(got) == 4 and attach_pages(records, pages).count() == 4
+    assert (got["u"]["title"], got["u"]["raw_html"]) == ("last", "<p>2</p>")
+    assert got["w"]["error"] == NO_SNAPSHOT and got[None]["error"] is None and got[""]["title"] == "empty"
