@@ -36,7 +36,7 @@ from hitloom.operators.cache import (
     storable_pages,
     upsert_entries,
 )
-from hitloom.operators.extract import extract_hits, page_status, warnings
+from hitloom.operators.extract import extract_hits, page_status, search_warnings, warnings
 from hitloom.operators.merge import (
     merge_hits,
     pages_for_limit,

@@ -74,6 +74,27 @@ def warnings(result_pages: DataFrame) -> DataFrame:
     )
 
 
+def search_warnings(requests: DataFrame, result_pages: DataFrame) -> DataFrame:
+    """What a search could not answer: (query_id, engine, page, error_kind, error).
+
+    ``requests`` is the plan (see ``plan_requests``). A request that was refused
+    (``query``), one whose page failed (``http``, ``captcha``) and one that no capture
+    answers (``absent``) each give a row; pages nobody asked for give none.
+    """
+    keys = ["query_id", "engine", "page"]
+    refused = requests.filter(F.col("error").isNotNull()).select(
+        *keys, F.lit("query").alias("error_kind"), "error"
+    )
+    asked = requests.filter(F.col("error").isNull()).select(*keys).distinct()
+    failed = warnings(result_pages).join(asked, keys, "left_semi")
+    absent = asked.join(result_pages.select(*keys), keys, "left_anti").select(
+        *keys,
+        F.lit("absent").alias("error_kind"),
+        F.concat("engine", F.lit(": no capture")).alias("error"),
+    )
+    return refused.unionByName(failed).unionByName(absent)
+
+
 def raw_hits(html: Column, engine: Column, rules=DEFAULT_RULES) -> Column:
     """Array of the hit containers of one page: the one step that leaves the JVM."""
     by_name = {r.name: r for r in rules}

@@ -29,7 +29,13 @@ from hitloom.operators.cache import (
     split_cached,
     upsert_entries,
 )
-from hitloom.operators.extract import extract_hits, page_status, raw_hits, warnings
+from hitloom.operators.extract import (
+    extract_hits,
+    page_status,
+    raw_hits,
+    search_warnings,
+    warnings,
+)
 from hitloom.operators.merge import (
     merge_hits,
     position_lists,
@@ -251,6 +257,11 @@ def page_warnings(spark, d):
     return warnings(inputs.result_pages(spark, d))
 
 
+def all_warnings(spark, d):
+    """The plan of all queries against the captured pages: most requests have none."""
+    return search_warnings(plan_requests(inputs.queries_table(spark, d)), inputs.result_pages(spark, d))
+
+
 def ranked_records(spark, d) -> DataFrame:
     return search_hits(inputs.hits(spark, d), 50)
 
@@ -512,6 +523,7 @@ QUERIES: dict[str, Query] = {
     "extract_hits": extracted_hits,
     "page_status": statuses,
     "page_warnings": page_warnings,
+    "search_warnings": all_warnings,
     "attach_pages": attached,
     "attach_cached_pages": attached_cached,
     "cache_keys": cache_keys,

@@ -14,6 +14,7 @@ from hitloom.operators.merge import (
     merge_hits,
     rank_results,
     within_page_limit,
+    within_query_limits,
 )
 from hitloom.operators.records import to_records
 from hitloom.operators.rules import DEFAULT_RULES, engine_names
@@ -60,6 +61,11 @@ def search_cached(
     return search_hits(hits, limit, engines, total="salted")
 
 
+def _checked(small: DataFrame) -> DataFrame:
+    """``small`` with a hint to broadcast it, if it has at most ``WANTED_ROWS`` rows."""
+    return F.broadcast(small) if small.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS else small
+
+
 def _wanted_pages(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The snapshots that a record wants.
 
@@ -67,9 +73,7 @@ def _wanted_pages(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     is read; more of them meet the crawl in a shuffled (or bucketed) semi-join.
     """
     wanted = records.where(F.coalesce(F.col("url"), F.lit("")) != "").select("url").distinct()
-    if wanted.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS:
-        wanted = F.broadcast(wanted)
-    return snapshots.join(wanted, "url", "left_semi")
+    return snapshots.join(_checked(wanted), "url", "left_semi")
 
 
 def attach_text(
@@ -108,15 +112,28 @@ def run_search(
     result_pages: DataFrame, snapshots: DataFrame, limit: int = DEFAULT_LIMIT,
     rules=DEFAULT_RULES, as_of: Column | None = None, max_chars: int = MAX_CHARS,
     keep_raw: bool = False, extractor=None, unit: str = "bytes",
+    queries: DataFrame | None = None,
 ) -> DataFrame:
     """Result pages and page snapshots to ranked records with text.
 
+    With ``queries`` (query_id, limit; null or not positive: the default) each query has
+    its own limit instead of ``limit``: pages, totals and ranks follow it, and pages of
+    other queries take no part.
+
     The ranked records, which are few, are stored in the shared folder, so that result
     pages are parsed once though both the wanted URLs and the answer come from them.
     """
     spark = result_pages.sparkSession
     path = scratch_dir(spark, "ranked")
+    if queries is not None:
+        own = F.when(F.col("limit") > 0, F.col("limit")).otherwise(DEFAULT_LIMIT)
+        limits = queries.select("query_id", own.alias("limit"))
+        limit = limits.agg(F.max("limit")).first()[0] or DEFAULT_LIMIT
+        asked = result_pages.join(_checked(limits.withColumnRenamed("limit", "_own")), "query_id")
+        result_pages = within_page_limit(asked, F.col("_own")).drop("_own")
     ranked = search_pages(result_pages, limit, rules, as_of)
+    if queries is not None:
+        ranked = within_query_limits(ranked, limits, limit)
     ranked.write.parquet(path)
     records = spark.read.schema(ranked.schema).parquet(path)
     return attach_text(records, snapshots, max_chars, keep_raw, extractor, unit)

@@ -93,3 +93,18 @@ def test_bodies_do_not_reach_the_join(spark, stored):
         node for node in re.findall(r"Exchange hashpartitioning\(_key[^)]*\)", join.toString())
     ]
     assert len(exchanges) == 2
+
+
+def test_each_query_has_its_own_limit(spark, stored):
+    """The plan with limits per query gives each query what it gets when asked alone."""
+    as_of = inputs.as_of()
+    ids = [r[0] for r in stored["result_pages"].select("query_id").distinct().orderBy("query_id").limit(6).collect()]
+    limits = {q: [3, 12, None, 0, 45, 7][i] for i, q in enumerate(ids)}
+    queries = spark.createDataFrame(list(limits.items()), "query_id bigint, limit int")
+    names = ["query_id", "rank", "total", "url", "title", "content_md"]
+    got = run_search(stored["result_pages"], stored["snapshots"], as_of=as_of, queries=queries).select(names).collect()
+    want = []
+    for limit in {limit or 20 for limit in limits.values()}:
+        rows = run_search(stored["result_pages"], stored["snapshots"], limit, as_of=as_of).select(names).collect()
+        want += [r for r in rows if r.query_id in limits and (limits[r.query_id] or 20) == limit]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and got
