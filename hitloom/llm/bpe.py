@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from hitloom.llm.store import on_workers
 
 PIECE_CHARS = 1_000_000
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 
 # The letters up to U+02C1.  Texts within _PLAIN are split by the standard library's engine,
 # which is twice as fast; over these characters both patterns have the same matches.
@@ -238,17 +238,38 @@ def encode(df: DataFrame, text: Column, path: str, pattern: str, into: str = "id
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        own = codec()
-        rows = [array("i") for _ in texts]
-        for number, found in own.encode_all(t.as_py() for t in texts):
-            rows[number].extend(found)
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        flat = np.concatenate([np.frombuffer(row, np.int32) for row in rows]) if ends[-1] else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return _listed(_encoded(codec(), texts))
 
     return df.withColumn(into, ids(text))
 
 
+def _encoded(own: Codec, texts: pa.Array) -> list[array]:
+    rows = [array("i") for _ in texts]
+    for number, found in own.encode_all(t.as_py() for t in texts):
+        rows[number].extend(found)
+    return rows
+
+
+def _listed(rows: list[array]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.concatenate([np.frombuffer(row, np.int32) for row in rows]) if ends[-1] else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def encode_checked(df: DataFrame, text: Column, path: str, pattern: str, into: str = "encoded") -> DataFrame:
+    """``df`` with the ids of each text, and whether they decode to its bytes, from one pass."""
+    codec = codec_on_workers(df, path, pattern)
+
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
+    def checked(texts: pa.Array) -> pa.Array:
+        own = codec()
+        rows = _encoded(own, texts)
+        same = [own.decode(ids) == (t.as_py() or "").encode() for ids, t in zip(rows, texts)]
+        return pa.StructArray.from_arrays([_listed(rows), pa.array(same, pa.bool_())], ["ids", "lossless"])
+
+    return df.withColumn(into, checked(text))
+
+
 def decode(df: DataFrame, ids: Column, path: str, pattern: str, into: str = "bytes") -> DataFrame:
     """``df`` with the bytes that each array of token ids stands for (none for null)."""
     codec = codec_on_workers(df, path, pattern)

@@ -145,14 +145,16 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-_MATCH = "struct<n_words:bigint,spans:array<struct<first:int,end:int>>,items:array<string>>"
+_MATCH = "struct<n_words:bigint,spans:array<struct<first:int,end:int>>,items:array<string>,rest:string>"
 
 
 def _automaton(sent) -> SuffixAutomaton:
     return SuffixAutomaton([(item, alnum_words(text)) for item, text in sent[0]], sent[1])
 
 
-def _match_part(df: DataFrame, text: Column, items: list, width: int, into: str, before: Column) -> DataFrame:
+def _match_part(
+    df: DataFrame, text: Column, items: list, width: int, into: str, before: Column, with_rest: bool
+) -> DataFrame:
     automaton = on_workers(df.sparkSession, (items, width), _automaton)
 
     @F.arrow_udf(_MATCH)
@@ -166,17 +168,22 @@ def _match_part(df: DataFrame, text: Column, items: list, width: int, into: str,
                 for span in old["spans"]:
                     hit[span["first"] : span["end"]] = True
             spans = [{"first": a, "end": b} for a, b in spans_of(hit)] if hit.any() else []
-            rows.append({"n_words": len(words), "spans": spans, "items": sorted(found)})
+            rest = value.as_py() if with_rest else None
+            if spans and with_rest:
+                rest = without(rest, [(x["first"], x["end"]) for x in spans])
+            rows.append({"n_words": len(words), "spans": spans, "items": sorted(found), "rest": rest})
         kind = pa.struct(
             [
                 ("n_words", pa.int64()),
                 ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                 ("items", pa.list_(pa.string())),
+                ("rest", pa.string()),
             ]
         )
         return pa.array(rows, kind)
 
-    return df.withColumn(into, match(text, before))
+    # Filters on the result are not to run it a second time.
+    return df.withColumn(into, match.asNondeterministic()(text, before))
 
 
 def match_items(
@@ -186,9 +193,12 @@ def match_items(
     width: int = WIDTH,
     into: str = "match",
     automaton_bytes: int = AUTOMATON_BYTES,
+    with_rest: bool = False,
 ) -> DataFrame:
     """``df`` with the number of words, the hit word ranges and the items found in each text.
 
+    ``with_rest`` adds the text less the hit ranges.
+
     The items are broadcast while their texts fit in ``automaton_bytes``; larger sets are
     dealt into parts of that size, and one pass per part adds to the result.
     """
@@ -199,7 +209,7 @@ def match_items(
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
         rows = [tuple(row) for row in own.collect()]
-        df = _match_part(df, text, rows, width, into, before)
+        df = _match_part(df, text, rows, width, into, before, with_rest)
         before = F.col(into)
         if parts > 1:
             df = saved(df, "match")
@@ -224,22 +234,10 @@ def decontaminate(
     A document more of which is hit than ``max_coverage`` goes as a whole; all others stay,
     and a text without hits stays as it is.
     """
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = zip(texts, lists)
-        return pa.array(
-            [
-                t.as_py() if not len(s) else without(t.as_py(), [(x["first"], x["end"]) for x in s.as_py()])
-                for t, s in rows
-            ],
-            pa.string(),
-        )
-
     name = "_match"
     while name in df.columns:
         name += "_"
-    matched = match_items(df, F.col(text), benchmark, width, name)
+    matched = match_items(df, F.col(text), benchmark, width, name, with_rest=True)
     match = F.col(name)
     kept = matched.where(removed(match) <= match["n_words"] * max_coverage)
-    return kept.withColumn(text, cut(F.col(text), match["spans"])).drop(name)
+    return kept.withColumn(text, match["rest"]).drop(name)

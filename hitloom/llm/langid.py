@@ -27,12 +27,12 @@ from pyspark.sql.window import Window
 from hitloom.llm.store import beside, on_workers, saved
 
 PER_LANGUAGE = 3000
-MAX_WORDS = 40_000
-MAX_GRAMS = 20_000
+MAX_WORDS = 30_000
+MAX_GRAMS = 12_000
 GRAMS = (4, 3, 2, 1)
 UNKNOWN = "und"
-SMOOTH = 0.5
-MEMO_CELLS = 2_000_000
+FLOOR = 1e-7  # the frequency of what a language never showed, the same for all of them
+MEMO_CELLS = 800_000
 PIECE_CHARS = 1_000_000
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ˁ"
@@ -103,7 +103,7 @@ def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
 def fit(
     labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
 ) -> dict:
-    """Log frequencies from (text, lang) rows: {"langs", "parts": {(n, part): row}, "logs"}."""
+    """Log frequencies from (text, lang) rows: {"langs", "parts": {n: {part: row}}, "logs"}; n = 0 for words."""
     texts = sampled(labelled.select("lang", "text"), per_language).select("lang", "text")
     total = F.sum("k").alias("k")
     words = saved(texts.mapInArrow(_count, _PARTS).groupBy("lang", "n", "part").agg(total), "words")
@@ -123,19 +123,19 @@ def fit(
     logs[at, [langs.index(lang) for lang in rows["lang"]]] = rows["k"]
     sizes = np.array([[totals.get((lang, n), 0) for lang in langs] for n in (0, 1, 2, 3, 4)], float)
     kinds = np.array([n for n, _ in places], int)
-    seen = np.bincount(kinds, minlength=5)
-    if places:
-        logs = np.log((logs + SMOOTH) / (sizes[kinds] + SMOOTH * seen[kinds][:, None]))
-    return {"langs": langs, "parts": places, "logs": logs}
+    logs = np.log(logs / np.maximum(sizes[kinds], 1) + FLOOR)
+    by_length: dict[int, dict[str, int]] = {n: {} for n in (0, *GRAMS)}
+    for (n, part), i in places.items():
+        by_length[n][part] = i
+    return {"langs": langs, "parts": by_length, "logs": logs}
 
 
 class Model:
     """A fitted model; words that were met before are looked up in a memo of bounded size."""
 
     def __init__(self, fitted: dict):
-        self.langs, self.parts = fitted["langs"], fitted["parts"]
-        self.logs = fitted["logs"]
-        self.known = {part: i for (n, part), i in self.parts.items() if n == 0}
+        self.langs, self.parts, self.logs = fitted["langs"], fitted["parts"], fitted["logs"]
+        self.known = self.parts[0]
         self._reset(0)
 
     def _reset(self, least: int) -> None:
@@ -146,7 +146,8 @@ class Model:
     def word(self, word: str) -> np.ndarray:
         """Scores of an unseen word: mean over its known n-grams of the longest length."""
         for n in GRAMS:
-            rows = [i for gram in grams_of(word, n) if (i := self.parts.get((n, gram))) is not None]
+            get = self.parts[n].get
+            rows = [i for gram in grams_of(word, n) if (i := get(gram)) is not None]
             if rows:
                 return self.logs[rows].mean(axis=0)
         return np.zeros(len(self.langs))
@@ -197,7 +198,8 @@ def identify(df: DataFrame, text: Column, fitted: dict, into: str = "language")
         columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())]
         return pa.StructArray.from_arrays(columns, ["lang", "score", "letters"])
 
-    return df.withColumn(into, language(text))
+    # Filters on the result are not to run it a second time.
+    return df.withColumn(into, language.asNondeterministic()(text))
 
 
 def held_out(doc_id: Column) -> Column:

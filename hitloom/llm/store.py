@@ -42,14 +42,13 @@ _BUILT: dict[str, object] = {}
 
 def _built(key: str, sent, build: Callable):
     if key not in _BUILT:
-        while len(_BUILT) > 3:
-            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT.clear()  # workers outlive a stage: what the one before used goes
         _BUILT[key] = build(sent.value)
     return _BUILT[key]
 
 
 def on_workers(spark: SparkSession, payload, build: Callable) -> Callable:
-    """A function that gives ``build(payload)``, built once per worker.
+    """A function that gives ``build(payload)``, built once per worker and stage.
 
     ``payload`` is broadcast, so callers pass only what has a bounded size.
     """

@@ -31,7 +31,7 @@ from hitloom.llm.store import beside, saved
 SAMPLE_ROWS = 4096
 PIVOTS = 64
 BLOCK_ROWS = 50_000
-QUERY_ROWS = 5_000
+QUERY_ROWS = 50_000
 LEAF_QUERIES, LEAF_ROWS, FAN_OUT = 64, 128, 16
 _NONE = -np.iinfo(np.int64).max
 

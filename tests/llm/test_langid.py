@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark):
 def test_words_first_then_shorter_grams():
     fitted = {
         "langs": ["aa", "bb"],
-        "parts": {(0, "the"): 0, (4, "_hou"): 1, (3, "hou"): 2, (1, "x"): 3},
+        "parts": {0: {"the": 0}, 4: {"_hou": 1}, 3: {"hou": 2}, 2: {}, 1: {"x": 3}},
         "logs": __import__("numpy").array([[-1.0, -5.0], [-5.0, -1.0], [-1.0, -9.0], [-2.0, -1.0]]),
     }
     model = langid.Model(fitted)
