@@ -17,7 +17,7 @@ texts are read in blocks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,8 +246,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), F.col("_t")).drop("_t"),
         "prints",
     )
+    return with_components(rows, links(rows.select("fp").distinct()))
+
+
+def with_components(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of ``rows`` (doc_id, fp), whose ``fp`` are joined by the links (u, v)."""
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints))
+    roots = components(linked)
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -257,12 +262,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_component(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: Callable[..., DataFrame] = near_duplicates
+) -> DataFrame:
     """``df`` with the least doc_id of each component only; a document without doc_id stays.
 
-    Where several rows carry that doc_id, one of them stays.
+    Where several rows carry that doc_id, one of them stays.  ``classes`` gives the components.
     """
-    found = saved(near_duplicates(df, doc_id, text), "classes").where("doc_id is not null")
+    found = saved(classes(df, doc_id, text), "classes").where("doc_id is not null")
     first = F.max(F.col("doc_id") == F.col("component_id"))
     rows = found.groupBy("doc_id").agg(F.count("*").alias("_copies_"), first.alias("_first_"))
     marks = rows.where("not _first_ or _copies_ > 1").withColumnRenamed("doc_id", doc_id)
