@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from hitloom.llm.store import beside, on_workers, saved
 
 PER_LANGUAGE = 3000
-MAX_WORDS = 30_000
-MAX_GRAMS = 12_000
+MAX_WORDS = 40_000
+MAX_GRAMS = 20_000
 GRAMS = (4, 3, 2, 1)
 UNKNOWN = "und"
 FLOOR = 1e-7  # the frequency of what a language never showed, the same for all of them
@@ -123,7 +123,7 @@ def fit(
     logs[at, [langs.index(lang) for lang in rows["lang"]]] = rows["k"]
     sizes = np.array([[totals.get((lang, n), 0) for lang in langs] for n in (0, 1, 2, 3, 4)], float)
     kinds = np.array([n for n, _ in places], int)
-    logs = np.log(logs / np.maximum(sizes[kinds], 1) + FLOOR)
+    logs = np.log(logs / np.maximum(sizes[kinds], 1) + FLOOR).astype(np.float32)
     by_length: dict[int, dict[str, int]] = {n: {} for n in (0, *GRAMS)}
     for (n, part), i in places.items():
         by_length[n][part] = i
@@ -141,7 +141,7 @@ class Model:
     def _reset(self, least: int) -> None:
         room = max(least, MEMO_CELLS // max(1, len(self.langs)))
         self.rows, self.filled = dict(self.known), len(self.logs)
-        self.table = np.concatenate([self.logs, np.zeros((room, len(self.langs)))])
+        self.table = np.concatenate([self.logs, np.zeros((room, len(self.langs)), self.logs.dtype)])
 
     def word(self, word: str) -> np.ndarray:
         """Scores of an unseen word: mean over its known n-grams of the longest length."""
@@ -173,7 +173,7 @@ class Model:
                     n += len(words)
                     continue
                 at = self._places(words)
-                total += self.table[at].sum(axis=0)
+                total += self.table[at].sum(axis=0, dtype=np.float64)
                 n += len(words)
             if not n or not self.langs:
                 found.append((UNKNOWN, 0.0, n > 0))
