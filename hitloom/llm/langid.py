@@ -90,12 +90,13 @@ _PARTS = "lang string, n int, part string, k long"
 
 
 def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` texts of each language, spread by a hash of the text."""
+    """At most ``per_language`` distinct texts of each language, spread by a hash of the text."""
     rows = labelled.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     # Twice the share that is wanted first, so few texts meet for the exact cut.
     near = beside(rows, sizes, ["lang"], "inner").where(part * F.col("count") <= 2 * per_language).drop("count")
+    near = near.dropDuplicates(["lang", "text"])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).drop("_rank")
 

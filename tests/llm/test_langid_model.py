@@ -8,3 +8,11 @@ def test_words_of_a_large_vocabulary_are_known(spark):
     words = spark.range(39_000).select(digits.alias("w")).agg(F.concat_ws(" ", F.collect_list("w")).alias("text"))
     fitted = langid.fit(words.withColumn("lang", F.lit("en")))
     assert len(fitted["parts"][0]) == 39_000
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    texts = spark.range(200).select(F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    first = texts.orderBy(F.xxhash64("text")).limit(1)
+    copies = first.crossJoin(spark.range(500)).select("text", "lang")
+    sample = langid.sampled(texts.unionByName(copies), 50)
+    assert sample.count() == sample.distinct().count() == 50
