@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import bpe, decontaminate, langid, licenses, pii, sharding, simhash, topk, training_order, warc
+from hitloom.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    langid,
+    lexical_search,
+    licenses,
+    pii,
+    sharding,
+    simhash,
+    topk,
+    training_order,
+    warc,
+    whitening,
+)
 from hitloom.llm.store import saved
 from hitloom.session import scratch_dir
 
@@ -120,6 +134,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,6 +164,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_lexical": op11_lexical,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
@@ -165,4 +195,47 @@ ORACLE: dict[str, str] = {
                 as record_type,
             case when first is not null and (page_id is null or page_id > first) then first end as refers_to
         from p left join f on p.digest = f.digest""",
+    "op11_lexical": r"""
+        with words as (
+            select row_number() over () as row, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ts
+            from documents where text is not null),
+        totals as (select count(*) as n_docs, cast(sum(len(ts)) as bigint) as n_terms from words where len(ts) > 0),
+        tf as (
+            select row, doc_id, term, cast(count(*) as bigint) as tf,
+                100 - 25 + (25 * any_value(n) * any_value(n_docs)) // any_value(n_terms) as m
+            from (select row, doc_id, len(ts) as n, unnest(ts) as term from words), totals
+            group by row, doc_id, term),
+        df as (select term, count(*) as df from tf group by term),
+        asked as (
+            select item_id, text, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term
+            from (select distinct item_id, text from benchmark)),
+        weighed as (
+            select item_id, text, a.term, count(*) as times,
+                cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * any_value(df) + 1))) as bigint) as w
+            from asked a join df on a.term = df.term, totals group by item_id, text, a.term),
+        scores as (
+            select item_id, text, doc_id, row,
+                cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+            from weighed q join tf on q.term = tf.term group by item_id, text, doc_id, row),
+        ranked as (
+            select item_id, doc_id, score, cast(row_number() over (
+                partition by item_id, text order by score desc, doc_id nulls last) as integer) as rank
+            from scores where score > 0)
+        select item_id, rank, doc_id, score from ranked where rank <= 20""",
+    "op12_exact_dedup": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as t,
+                regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as c, row_number() over () as row
+            from documents),
+        g as (
+            select *, count(*) over (partition by c) as group_size,
+                first_value(doc_id) over best as keep_id, row_number() over best as place
+            from d window best as (
+                partition by c order by length(t) desc, doc_id nulls last, row
+                rows between unbounded preceding and unbounded following))
+        select doc_id, keep_id, group_size, place = 1 as kept, sha256(c) as text_sha256 from g""",
 }
