@@ -100,10 +100,9 @@ def _entity_char(entity: Column) -> Column:
     Without a semicolon only the old names count. A number beyond the characters gives
     U+FFFD, as in a browser; zero stays as it is.
     """
-    known = {f"&{name}": text for name, text in html5.items() if text != "&"}
-    names = F.split(F.lit(" ".join(known)), " ")
-    texts = F.transform(F.split(F.lit(" ".join(t.encode("utf-16-be").hex() for t in known.values())), " "), _from_hex)
-    named = F.try_element_at(F.map_from_arrays(names, texts), entity)
+    # One text, so the optimizer makes it a constant: nothing is built per row.
+    known = "\x02".join(f"&{name}\x01{text}" for name, text in html5.items() if text != "&")
+    named = F.try_element_at(F.str_to_map(F.lit(known), F.lit("\x02"), F.lit("\x01")), entity)
     digits = F.regexp_extract(entity, "^&#[xX]?0*([A-Fa-f0-9]*);?$", 1)
     hexadecimal = entity.rlike("^&#[xX]")
     # A code point has at most six hexadecimal and seven decimal digits, after zeros.
@@ -123,10 +122,6 @@ def _entity_char(entity: Column) -> Column:
     return F.when(entity.rlike("^&#"), number).otherwise(named)
 
 
-def _from_hex(digits: Column) -> Column:
-    return F.decode(F.unhex(digits), "UTF-16BE")
-
-
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric character references in one pass over each distinct one."""
 

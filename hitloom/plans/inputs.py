@@ -282,3 +282,19 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("content_md"),
         F.when(p % 10 == 0, "navigate: timeout").alias("error"),
     )
+
+
+def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a nested menu, a table, a list, a quote and a second article put in, some tags left open."""
+    p = F.col("page_id").cast("string")
+    link = F.concat(F.lit('<a href="/p?id='), p, F.lit('&amp;x=1">page '), p, F.lit("</a>"))
+    home = F.concat(F.lit("<a href='"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'>home</a>"))
+    more = F.concat(
+        F.lit("<nav><div><nav>in</nav>tail menu</div></nav><!-- <p>no</p> -->"),
+        F.lit("<table><tr><th>Name</th><th title='a > b'>No</th></tr><tr><td>"), link,
+        F.lit("<td>"), (F.col("page_id") * 3).cast("string"), F.lit("</table><ul><li>one "), p,
+        F.lit("<li>two "), home, F.lit(" end</ul><div><form><label>skip</div><aside><p>skip</aside>"),
+        F.lit("<blockquote>quoted</blockquote></article><p>between</p><article><p>second &lt;part&gt;</p></article>"),
+    )
+    html = F.replace("html", F.lit("</article>"), more)
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.functions.dates import parse_result_date, rfc3339, strip_date_prefix
-from hitloom.functions.html import body_text_length, page_metadata, page_title
+from hitloom.functions.html import body_text_length, main_text, page_metadata, page_title, text_blocks
 from hitloom.functions.keys import page_key, result_key
 from hitloom.functions.text import (
     longest_of,
@@ -203,6 +203,24 @@ def page_titles(spark, d):
     )
 
 
+def main_text_blocks(spark, d):
+    """Each block of the main text, with the cells of table rows and the links."""
+    rows = inputs.structured_pages(spark, d).select("page_id", F.posexplode(text_blocks(F.col("html"))).alias("at", "b"))
+    link = lambda x: F.concat_ws("=", x["text"], x["url"])
+    return rows.select(
+        "page_id", (F.col("at") + 1).cast("bigint").alias("block_no"), "b.kind", "b.text",
+        F.array_join("b.cells", "|").alias("cells"), F.array_join(F.transform("b.links", link), " ").alias("links"),
+    )
+
+
+def main_text_markdown(spark, d):
+    """The same text as Markdown lines, and as plain ones."""
+    html = F.col("html")
+    return inputs.structured_pages(spark, d).select(
+        "page_id", main_text(html, links=True).alias("markdown"), main_text(html).alias("plain")
+    )
+
+
 def page_dates(spark, d):
     """Dates put into the heads of the pages, then read back."""
     p = F.col("page_id")
@@ -519,6 +537,8 @@ QUERIES: dict[str, Query] = {
     "truncate_content": truncate_content,
     "page_titles": page_titles,
     "page_dates": page_dates,
+    "main_text_blocks": main_text_blocks,
+    "main_text_markdown": main_text_markdown,
     "extract_links": extract_links,
     "extract_hits": extracted_hits,
     "page_status": statuses,
