@@ -32,6 +32,7 @@ from hitloom.operators.cache import (
     purge_all,
     purge_expired,
     result_entries,
+    mark_cached,
     split_cached,
     storable_pages,
     upsert_entries,

@@ -126,29 +126,57 @@ def lookup_results(
     )
 
 
+def mark_cached(
+    requests: DataFrame, cache: DataFrame, now: int | Column | None = None,
+    use_cache: bool = True, refresh: bool = False,
+) -> DataFrame:
+    """The requests with ``answered``: whether the cache has a live entry for them.
+
+    One join with the distinct keys of the live entries; the cache is read once, by key.
+    """
+    live = live_entries(cache, now).filter(F.lit(use_cache and not refresh))
+    live = live.select("cache_key").distinct().withColumn("_live", F.lit(True))
+    marked = requests.join(live, "cache_key", "left")
+    return marked.select(*requests.columns, F.coalesce("_live", F.lit(False)).alias("answered"))
+
+
 def split_cached(
     requests: DataFrame, cache: DataFrame, now: int | Column | None = None,
     use_cache: bool = True, refresh: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Requests the cache answers, and requests left to fetch."""
-    live = live_entries(cache, now).filter(F.lit(use_cache and not refresh))
-    live = live.select("cache_key").distinct()
-    return (
-        requests.join(live, "cache_key", "left_semi"),
-        requests.join(live, "cache_key", "left_anti"),
-    )
+    """Requests the cache answers, and requests left to fetch.
+
+    Each of the two reads the cache; a plan that needs both filters ``mark_cached``.
+    """
+    marked = mark_cached(requests, cache, now, use_cache, refresh)
+    return marked.filter("answered").drop("answered"), marked.filter(~F.col("answered")).drop("answered")
+
+
+_HIT_FIELDS = "struct<position:int,url:string,title:string,snippet:string,thumbnail:string,published:timestamp_ntz,cached:boolean>"
 
 
 def cached_and_fresh(
     requests: DataFrame, cache: DataFrame, fetched: DataFrame,
     now: int | Column | None = None, use_cache: bool = True, refresh: bool = False,
 ) -> DataFrame:
-    """Cached hits of the answered requests and fetched hits of the others."""
-    hits = lookup_results(requests, cache, now, use_cache, refresh)
-    _, misses = split_cached(requests, cache, now, use_cache, refresh)
+    """Cached hits of the answered requests and fetched hits of the others.
+
+    Each request meets its live entries in one join, which also tells a hit from a miss;
+    only a miss then finds the fetched hits of its page.  The cache and the fetched hits are
+    read once each, and a request that is listed twice counts once.
+    """
     keys = ["query_id", "engine", "page"]
-    fresh = fetched.join(misses.select(*keys), keys, "left_semi")
-    return hits.unionByName(fresh.select(*hits.columns))
+    asked = requests.select(*keys, "cache_key").distinct()
+    live = live_entries(cache, now).filter(F.lit(use_cache and not refresh))
+    fields = [F.col(name) for name in ("position", "url", "title", "snippet", "thumbnail", "published")]
+    entries = live.select("cache_key", F.struct(*fields, F.lit(True).alias("cached")).cast(_HIT_FIELDS).alias("_entry"))
+    fresh = fetched.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*fields, F.col("cached")).cast(_HIT_FIELDS).alias("_hit")
+    )
+    missed = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_entry").isNull()]
+    met = asked.join(entries, "cache_key", "left").join(fresh, missed, "left")
+    hit = F.coalesce("_entry", "_hit")
+    return met.select(*keys, hit.alias("_found")).filter("_found is not null").select(*keys, "_found.*")
 
 
 def cache_stats(

@@ -22,11 +22,12 @@ from hitloom.operators.cache import (
     cache_stats,
     cached_and_fresh,
     delete_entries,
+    live_entries,
     lookup_results,
+    mark_cached,
     page_entries,
     purge_expired,
     result_entries,
-    split_cached,
     upsert_entries,
 )
 from hitloom.operators.extract import (
@@ -61,6 +62,7 @@ from hitloom.plans.run import (
 )
 from hitloom.schemas import PAGE_CACHE
 from hitloom.session import scratch_dir
+from hitloom.sources.cache_log import read_log
 from hitloom.sources.ndjson import read_records, write_records
 from hitloom.sources.tables import clear_cache, commit_version, read_cache
 from hitloom.streaming.stages import (
@@ -330,11 +332,9 @@ def cache_lookup(spark, d):
 
 
 def cache_split(spark, d):
-    answered, missed = split_cached(request_table(spark, d), inputs.result_cache(spark, d), NOW)
-    rows = union_hits(
-        answered.withColumn("answer", F.lit("hit")), missed.withColumn("answer", F.lit("miss"))
-    )
-    return rows.select("query_id", "engine", "page", "answer")
+    rows = mark_cached(request_table(spark, d), inputs.result_cache(spark, d), NOW)
+    answer = F.when(F.col("answered"), "hit").otherwise("miss")
+    return rows.select("query_id", "engine", "page", answer.alias("answer"))
 
 
 def fresh_page_entries(spark, d) -> DataFrame:
@@ -480,7 +480,7 @@ def streamed_upkeep(spark, d):
         stream_cache_upkeep(
             stream, f"{base}/cache", f"{base}/checkpoint", PAGE_CACHE, now=NOW
         ).awaitTermination()
-    rows = read_cache(spark, f"{base}/cache", PAGE_CACHE)
+    rows = live_entries(read_log(spark, f"{base}/cache", PAGE_CACHE), NOW)
     return rows.select("cache_key", "url", "title", "scraped_at", "expires_at")
 
 

@@ -6,17 +6,19 @@ stateless, so a restart only needs the checkpoint folder.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hitloom.operators.attach import attach_pages
-from hitloom.operators.cache import latest_entries, purge_expired, upsert_entries
+from hitloom.operators.cache import latest_entries
 from hitloom.operators.records import record_json
 from hitloom.operators.sanitize import MAX_CHARS, sanitize
 from hitloom.schemas import RECORD, RESULT_CACHE
+from hitloom.sources.cache_log import append_entries, purge_log
 from hitloom.sources.ndjson import with_record_defaults
-from hitloom.sources.tables import commit_version, read_cache
 
 
 def read_record_stream(
@@ -76,18 +78,17 @@ def stream_cache_upkeep(
     entries: DataFrame, root: str, checkpoint: str,
     schema: T.StructType = RESULT_CACHE, version: str | None = None, now: int | None = None,
 ) -> StreamingQuery:
-    """Upsert each micro-batch of entries into the table, then drop what expired.
+    """Append each micro-batch of entries to the log at ``root``, then purge the hours that passed.
 
-    Entries live for minutes, so a version holds little more than the live ones. A
-    replayed batch replaces the entries it wrote before. ``version`` orders repeated
-    writes of one key within a batch.
+    A batch writes its own rows only, whatever the size of the table; a replayed batch
+    replaces its own folder. The table is read with ``read_log``. ``version`` orders
+    repeated writes of one key within a batch. One stream, with its checkpoint, owns a log.
     """
 
     def upkeep(batch: DataFrame, batch_id: int) -> None:
         new = latest_entries(batch, version) if version else batch
-        new = new.select(*schema.fieldNames())
-        table = read_cache(batch.sparkSession, root, schema)
-        commit_version(purge_expired(upsert_entries(table, new), now), root)
+        append_entries(new.select(*schema.fieldNames()), root, batch_id)
+        purge_log(batch.sparkSession, root, int(time.time()) if now is None else now, schema)
 
     return (
         entries.writeStream.foreachBatch(upkeep)

@@ -9,10 +9,12 @@ from hitloom.functions.keys import page_key
 from hitloom.operators.attach import attach_pages
 from hitloom.operators.records import record_json
 from hitloom.operators.sanitize import sanitize
+from hitloom.operators.cache import live_entries
 from hitloom.plans import inputs
 from hitloom.schemas import PAGE_CACHE, RECORD, RESULT_PAGE, SNAPSHOT
 from hitloom.session import scratch_dir
 from hitloom.sources.ndjson import read_records, write_records
+from hitloom.sources.cache_log import read_log
 from hitloom.sources.tables import (
     commit_version,
     latest_version,
@@ -134,7 +136,7 @@ def test_stream_upkeep(spark):
         stream_cache_upkeep(
             stream, f"{base}/cache", f"{base}/checkpoint", PAGE_CACHE, now=100
         ).awaitTermination()
-        table = read_cache(spark, f"{base}/cache", PAGE_CACHE)
+        table = live_entries(read_log(spark, f"{base}/cache", PAGE_CACHE), 100)
         return sorted((r["cache_key"], r["title"]) for r in table.collect())
 
     assert batch(("a", "1", 0), ("b", "1", 99), ("c", "1", 200)) == [("a", "1"), ("c", "1")]
