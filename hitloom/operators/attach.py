@@ -62,13 +62,14 @@ def _keyed_pages(pages: DataFrame, name: str, from_cache: bool) -> DataFrame:
     return latest_page(keyed, F.col(name))
 
 
-def latest_page(pages: DataFrame, page: Column, *rest: Column) -> DataFrame:
-    """One row per ``_key``: the page scraped last, ties by the other fields.
+def latest_page(pages: DataFrame, page: Column, *rest: Column, prefer: Column | None = None) -> DataFrame:
+    """One row per ``_key``: a preferred one first, then the page scraped last, ties by the other fields.
 
     The rows are dealt by the key, as the join with them asks, and a map task passes on
     one row per key, so a URL captured very often stays cheap.
     """
-    newest = Window.partitionBy("_key").orderBy(F.desc(page["scraped_at"]), page, *rest)
+    first = [] if prefer is None else [F.desc(prefer)]
+    newest = Window.partitionBy("_key").orderBy(*first, F.desc(page["scraped_at"]), page, *rest)
     return pages.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
 
 

@@ -155,6 +155,24 @@ def split_cached(
 _HIT_FIELDS = "struct<position:int,url:string,title:string,snippet:string,thumbnail:string,published:timestamp_ntz,cached:boolean>"
 
 
+def met_requests(
+    requests: DataFrame, cache: DataFrame, now: int | Column | None = None,
+    use_cache: bool = True, refresh: bool = False,
+) -> DataFrame:
+    """(query_id, engine, page, cache_key, entry): each request once per hit of its live entry.
+
+    A request the cache does not answer has one row, with a null ``entry``.
+    """
+    asked = requests.select("query_id", "engine", "page", "cache_key").distinct()
+    live = live_entries(cache, now).filter(F.lit(use_cache and not refresh))
+    hit = F.struct(*_hit_columns(), F.lit(True).alias("cached")).cast(_HIT_FIELDS).alias("entry")
+    return asked.join(live.select("cache_key", hit), "cache_key", "left")
+
+
+def _hit_columns() -> list[Column]:
+    return [F.col(name) for name in ("position", "url", "title", "snippet", "thumbnail", "published")]
+
+
 def cached_and_fresh(
     requests: DataFrame, cache: DataFrame, fetched: DataFrame,
     now: int | Column | None = None, use_cache: bool = True, refresh: bool = False,
@@ -166,16 +184,12 @@ def cached_and_fresh(
     read once each, and a request that is listed twice counts once.
     """
     keys = ["query_id", "engine", "page"]
-    asked = requests.select(*keys, "cache_key").distinct()
-    live = live_entries(cache, now).filter(F.lit(use_cache and not refresh))
-    fields = [F.col(name) for name in ("position", "url", "title", "snippet", "thumbnail", "published")]
-    entries = live.select("cache_key", F.struct(*fields, F.lit(True).alias("cached")).cast(_HIT_FIELDS).alias("_entry"))
     fresh = fetched.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*fields, F.col("cached")).cast(_HIT_FIELDS).alias("_hit")
+        *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*_hit_columns(), F.col("cached")).cast(_HIT_FIELDS).alias("_hit")
     )
-    missed = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_entry").isNull()]
-    met = asked.join(entries, "cache_key", "left").join(fresh, missed, "left")
-    hit = F.coalesce("_entry", "_hit")
+    missed = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("entry").isNull()]
+    met = met_requests(requests, cache, now, use_cache, refresh).join(fresh, missed, "left")
+    hit = F.coalesce("entry", "_hit")
     return met.select(*keys, hit.alias("_found")).filter("_found is not null").select(*keys, "_found.*")
 
 

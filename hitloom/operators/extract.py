@@ -28,6 +28,7 @@ ARROW_HITS = pa.list_(
     )
 )
 
+PAGE = ["query_id", "engine", "page"]
 CHALLENGE_FORM = r"(?is)<form\b[^>]*\bid\s*=\s*[\"']?challenge-form[\"'\s>]"
 
 
@@ -86,13 +87,20 @@ def search_warnings(requests: DataFrame, result_pages: DataFrame) -> DataFrame:
         *keys, F.lit("query").alias("error_kind"), "error"
     )
     asked = requests.filter(F.col("error").isNull()).select(*keys).distinct()
-    failed = warnings(result_pages).join(asked, keys, "left_semi")
-    absent = asked.join(result_pages.select(*keys), keys, "left_anti").select(
-        *keys,
+    captured = page_status(result_pages).select(*keys, "status", "error_kind", "error")
+    return refused.unionByName(unanswered(asked, captured))
+
+
+def unanswered(asked: DataFrame, captured: DataFrame) -> DataFrame:
+    """Warnings of the requests asked, given the status of the captured pages."""
+    columns = [*PAGE, "error_kind", "error"]
+    failed = captured.filter(F.col("status") == "failed").select(*columns).join(asked.select(*PAGE), PAGE, "left_semi")
+    absent = asked.select(*PAGE).join(captured.select(*PAGE), PAGE, "left_anti").select(
+        *PAGE,
         F.lit("absent").alias("error_kind"),
         F.concat("engine", F.lit(": no capture")).alias("error"),
     )
-    return refused.unionByName(failed).unionByName(absent)
+    return failed.unionByName(absent)
 
 
 def raw_hits(html: Column, engine: Column, rules=DEFAULT_RULES) -> Column:
@@ -112,20 +120,41 @@ def _by_engine(rules, field: str) -> Column:
     return F.try_element_at(literal_map(values), F.col("engine"))
 
 
+def parsed_pages(result_pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+    """One row per page: its status with ``error_kind`` and ``error``, and its hit containers.
+
+    The one costly pass: stored, it gives the hits and the warnings without the HTML.
+    """
+    html = F.when(F.col("status") == "ok", F.col("html"))
+    return page_status(result_pages).select(
+        *PAGE, "status", "error_kind", "error", raw_hits(html, F.col("engine"), rules).alias("raw")
+    )
+
+
 def extract_hits(
     result_pages: DataFrame,
     rules=DEFAULT_RULES,
     as_of: Column | None = None,
     date_mode: str = "chars",
 ) -> DataFrame:
-    """Hits of all pages that loaded, numbered from 1 within each page.
+    """Hits of all pages that loaded, numbered from 1 within each page."""
+    loaded = page_status(result_pages).filter(F.col("status") == "ok")
+    raw = loaded.select(*PAGE, raw_hits(F.col("html"), F.col("engine"), rules).alias("raw"))
+    return hits_of(raw, rules, as_of, date_mode)
+
+
+def hits_of(
+    parsed: DataFrame,
+    rules=DEFAULT_RULES,
+    as_of: Column | None = None,
+    date_mode: str = "chars",
+) -> DataFrame:
+    """Hits of parsed pages (query_id, engine, page, raw), numbered from 1 within each page.
 
     The kept hits of a page stay one array until they are numbered, so the position
     comes from ``posexplode`` and nothing is shuffled.
     """
-    loaded = page_status(result_pages).filter(F.col("status") == "ok")
-    keys = ["query_id", "engine", "page"]
-    raw = loaded.select(*keys, raw_hits(F.col("html"), F.col("engine"), rules).alias("raw"))
+    keys, raw = PAGE, parsed
     need_host, skip = _by_engine(rules, "require_host"), _by_engine(rules, "skip_class")
 
     def keep(h: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.html import TITLE
 from hitloom.functions.keys import page_key, result_key
+from hitloom.operators.extract import extract_hits
+from hitloom.operators.requests import plan_requests
 
 NOW = 1_700_000_000
 AS_OF = "2026-03-31 12:30:15"
@@ -298,3 +300,26 @@ def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     html = F.replace("html", F.lit("</article>"), more)
     return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+def page_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries whose answers ``result_pages`` holds; each has its limit, some are too long for one engine."""
+    q = F.col("query_id")
+    ids = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 5).alias("query_id")).distinct()
+    return ids.select(
+        "query_id",
+        F.concat(F.lit("query "), q.cast("string"), F.when(q % 9 == 4, F.repeat(F.lit(" long"), 100)).otherwise("")).alias("query"),
+        F.lit(",".join(ENGINES)).alias("engines"),
+        (q * 7 % 51).cast("int").alias("limit"),
+    )
+
+
+def answered_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result cache for the plan of ``page_queries``: a third of them live, a third expired, a third absent."""
+    asked = plan_requests(page_queries(spark, sf_dir)).select("query_id", "engine", "page", "cache_key")
+    q = F.col("query_id")
+    hits = extract_hits(result_pages(spark, sf_dir), as_of=as_of()).where(q % 3 < 2).join(asked, ["query_id", "engine", "page"])
+    return hits.select(
+        "cache_key", "position", "url", F.concat("title", F.lit(" (kept)")).alias("title"), "snippet", "thumbnail",
+        "published", F.when(q % 3 == 0, NOW + 5).otherwise(NOW - 5).cast("bigint").alias("expires_at"),
+    )

@@ -54,6 +54,8 @@ from hitloom.operators.status import classify_status, health_summary
 from hitloom.plans import inputs
 from hitloom.plans.inputs import NOW, as_of, table
 from hitloom.plans.run import (
+    Answer,
+    answer_queries,
     attach_text,
     run_search,
     search_cached,
@@ -521,6 +523,31 @@ def search_run(spark, d):
     return text_rows(rows)
 
 
+def answer(spark, d) -> Answer:
+    return answer_queries(
+        inputs.page_queries(spark, d), inputs.result_pages(spark, d), inputs.snapshots(spark, d),
+        inputs.answered_before(spark, d), inputs.page_cache(spark, d), NOW, as_of=as_of(),
+    )
+
+
+def answer_records(spark, d):
+    return text_rows(answer(spark, d).records)
+
+
+def answer_entries(spark, d):
+    """What the plan gives the two caches to keep."""
+    found = answer(spark, d)
+    hits = found.result_entries.select(F.lit("results").alias("cache"), "cache_key", "position", "url", "title", "expires_at")
+    pages = found.page_entries.select(
+        F.lit("pages").alias("cache"), "cache_key", F.lit(None).cast("int").alias("position"), "url", "title", "expires_at"
+    )
+    return hits.unionByName(pages)
+
+
+def answer_warnings(spark, d):
+    return answer(spark, d).warnings
+
+
 QUERIES: dict[str, Query] = {
     "normalize_urls": normalize_urls,
     "merge_hits": merged_rows,
@@ -569,4 +596,7 @@ QUERIES: dict[str, Query] = {
     "search_cached": cached_search,
     "search_result_pages": search_result_pages,
     "search_run": search_run,
+    "answer_records": answer_records,
+    "answer_entries": answer_entries,
+    "answer_warnings": answer_warnings,
 }
