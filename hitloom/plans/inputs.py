@@ -32,30 +32,35 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+def paragraphs(html: Column) -> Column:
+    """Texts of all paragraphs of the article, closed or not, without inner tags; entities stay."""
+    body = F.regexp_extract(html, r"(?s)<article>(.*)</article>", 1)
+    parts = F.slice(F.split(body, "<p>"), 2, 2_000_000_000)
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, "<[^<>]*>", "")), lambda x: x != "")
+
+
 def pages_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with their title and closed paragraphs, both as they stand in the HTML."""
-    paragraphs = F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1))
+    """Pages with their title and all their paragraphs."""
     return table(spark, sf_dir, "pages").select(
         "page_id",
         "url",
         F.regexp_extract("html", TITLE, 1).alias("title"),
-        paragraphs.alias("paragraphs"),
+        paragraphs(F.col("html")).alias("paragraphs"),
     )
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen hits per page, spread over two neighbouring queries.
+    """One hit per paragraph of a page, sixteen at least, eight of them in a query.
 
-    A query holds up to 192 hits of 24 pages, each in several spellings of its URL;
+    A query holds hits of neighbouring pages, each in several spellings of its URL;
     (engine, page, position) is unique within a query.
     """
     i, p = F.col("i"), F.col("page_id")
     rows = pages_with_parts(spark, sf_dir).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")
+        "*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("paragraphs"), F.lit(16)) - 1)).alias("i")
     )
-    late = F.when(i >= 8, 1).otherwise(0)
-    slot = ((late * 96 + (p % 12) * 8 + i % 8) * 37) % 200
-    rows = rows.withColumn("slot", slot)
+    late = F.floor(i / 8)
+    rows = rows.withColumn("slot", late * 96 + (p % 12) * 8 + i % 8)
     slot = F.col("slot")
     plain = F.contains("url", F.lit("?")) | F.contains("url", F.lit("#"))
     url = F.col("url")
@@ -74,8 +79,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         (F.floor(p / 12) + late).alias("query_id"),
         choose(slot, ENGINES).alias("engine"),
-        (F.floor(slot / 40) + 1).cast("int").alias("page"),
-        (F.floor(slot / 4) % 10 + 1).cast("int").alias("position"),
+        (F.floor(slot / 4) % 5 + 1).cast("int").alias("page"),
+        (F.floor(slot / 20) + 1).cast("int").alias("position"),
         spelling.alias("url"),
         F.concat(F.col("title"), F.repeat(F.lit(" *"), ((p + i * 7) % 5).cast("int"))).alias(
             "title"
@@ -94,18 +99,19 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result page per given page and engine, three containers each, as HTML.
+    """One result page per given page and engine, a container per paragraph and three at least, as HTML.
 
     Five given pages make the five result pages of a query. The second container
-    has no usable URL (an advertisement at duckduckgo); the third repeats across
-    neighbouring pages. Some pages failed, some show a challenge form.
+    has no usable URL (an advertisement at duckduckgo), the fourth none at all; the others
+    after the first repeat across neighbouring pages. Some pages failed, some show a challenge form.
     """
     p = F.col("page_id")
+    missing = F.greatest(F.lit(3) - F.size("paragraphs"), F.lit(0))
     source = pages_with_parts(spark, sf_dir).select(
         "page_id",
         F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"),
         "title",
-        F.coalesce(F.get("paragraphs", F.lit(0)), F.lit("")).alias("text"),
+        F.concat("paragraphs", F.array_repeat(F.lit(""), missing)).alias("texts"),
         F.concat(
             F.lit("https://www.mirror.example.org/"),
             F.floor(p / 2).cast("string"), F.lit("/"),
@@ -113,47 +119,52 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         choose(p, ["Mar 15, 2026", "3 hours ago", "sponsored"]).alias("date"),
         F.posexplode(F.array(*[F.lit(e) for e in ENGINES])).alias("e", "engine"),
     )
-    urls = [F.col("url"), F.lit("not-a-valid-url"), F.col("mirror")]
-    t, x, d = F.col("title"), F.col("text"), F.col("date")
+    t, d = F.col("title"), F.col("date")
     lit = F.lit
 
-    def brave(n, url):
+    def target(n):
+        return (
+            F.when(n == 1, F.col("url")).when(n == 2, "not-a-valid-url").when(n == 3, F.col("mirror"))
+            .when(n == 4, "").otherwise(F.concat("mirror", n.cast("string"), lit("/")))
+        )
+
+    def brave(n, x):
         thumb = F.concat(
             lit('<a class="thumbnail"><img src="https://img.example.com/'),
             p.cast("string"), lit('.png"></a>'),
         )
         return F.concat(
-            lit('<div class="snippet fdb"><a href="'), url, lit('">link</a><div class="title"> '),
-            t, lit(f' {n}\n</div><span class="t-secondary"> '), d,
+            lit('<div class="snippet fdb"><a href="'), target(n), lit('">link</a><div class="title"> '),
+            t, lit(" "), n.cast("string"), lit('\n</div><span class="t-secondary"> '), d,
             lit('</span><div class="content">'), d, lit(" - <b>"), x, lit("</b></div>"),
-            thumb if n == 1 else lit(""), lit("</div>\n"),
+            F.when(n == 1, thumb).otherwise(""), lit("</div>\n"),
         )
 
-    def duckduckgo(n, url):
-        ad = " result--ad" if n == 2 else ""
+    def duckduckgo(n, x):
         return F.concat(
-            lit(f'<div class="web-result{ad}"><h2><a href="'), url, lit('">'), t,
-            lit(f' {n}</a></h2><a class="result__snippet">'), x, lit("</a></div>\n"),
+            lit('<div class="web-result'), F.when(n == 2, " result--ad").otherwise(""), lit('"><h2><a href="'),
+            target(n), lit('">'), t, lit(" "), n.cast("string"), lit('</a></h2><a class="result__snippet">'),
+            x, lit("</a></div>\n"),
         )
 
-    def brave_news(n, url):
+    def brave_news(n, x):
         return F.concat(
-            lit('<div data-type="news"><a class="result-header" href="'), url,
-            lit('">x</a><span class="snippet-title">'), t, lit(f' {n}</span><p class="desc">'),
+            lit('<div data-type="news"><a class="result-header" href="'), target(n),
+            lit('">x</a><span class="snippet-title">'), t, lit(" "), n.cast("string"), lit('</span><p class="desc">'),
             x, lit('<div class="image-wrapper"><img src="https://img.example.com/n/'),
             p.cast("string"), lit('.jpg"/></div></div>\n'),
         )
 
-    def bingnews(n, url):
+    def bingnews(n, x):
         return F.concat(
-            lit('<div class="newsitem"><a class="title" href="'), url, lit('">'), t,
-            lit(f' {n}</a><div class="snippet">'), x,
+            lit('<div class="newsitem"><a class="title" href="'), target(n), lit('">'), t, lit(" "), n.cast("string"),
+            lit('</a><div class="snippet">'), x,
             lit('</div><a class="imagelink"><img src="/th?id='), p.cast("string"),
             lit('"></a></div>\n'),
         )
 
     def body(render):
-        return F.concat(*[render(n + 1, u) for n, u in enumerate(urls)])
+        return F.array_join(F.transform("texts", lambda x, i: render(i + 1, x)), "")
 
     challenge = (F.col("engine") == "duckduckgo") & (p % 13 == 0)
     html = F.concat(
@@ -265,8 +276,9 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as scraped records; some in error, some without a body or a URL."""
+    """The pages as scraped records; some in error, some without a body or a URL, some that tell their date."""
     p = F.col("page_id")
+    dated = F.replace("html", F.lit("</head>"), F.lit('<meta name="date" content="2024-03-04"></head>'))
     none = F.lit(None).cast("string")
     return table(spark, sf_dir, "pages").select(
         "page_id",
@@ -279,7 +291,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("engines"),
         (p % 8 == 0).alias("cached"),
         F.when(p % 3 == 0, "2024-05-06T07:08:09Z").alias("published_at"),
-        F.when(p % 12 == 0, none).otherwise(F.col("html")).alias("raw_html"),
+        F.when(p % 12 == 0, none).when(p % 4 == 1, dated).otherwise(F.col("html")).alias("raw_html"),
         F.lit("2024-02-01T00:00:00Z").alias("scraped_at"),
         none.alias("content_md"),
         F.when(p % 10 == 0, "navigate: timeout").alias("error"),

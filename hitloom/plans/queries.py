@@ -428,7 +428,7 @@ def picked_snapshot(spark, d):
 
 def shadow_merge(spark, d):
     shadow = F.when(
-        F.col("page_id") % 2 == 0, F.regexp_extract("html", "<p>([^<]+)</p>", 1)
+        F.col("page_id") % 2 == 0, F.array_join(inputs.paragraphs(F.col("html")), " ")
     ).otherwise("")
     rows = table(spark, d, "pages").select("page_id", merge_shadow_text(F.col("html"), shadow).alias("h"))
     return rows.select("page_id", F.md5("h").alias("html_md5"), F.length("h").cast("bigint").alias("n_chars"))
