@@ -13,7 +13,8 @@ rows without id; a row that is repeated counts once; a row of the query's own id
 candidate; ties go to the smaller id; vectors of another length are no candidates; a query
 with fewer candidates than k returns them all.  Equal vectors meet before the search: of them
 only the k + 1 smallest ids are indexed, which is exact, and equal queries are searched once.
-A score outside the range of long is an error.
+A score outside the range of long is an error, as is a component of 2 ** 45 or more, whose
+whole number no double holds.
 """
 
 from __future__ import annotations
@@ -79,9 +80,12 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
-    if most >= 2**63:
-        raise OverflowError("a score can be outside the range of long")
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    exact = a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
+    if max(abs(exact.max()), abs(exact.min())) >= 2**63:
+        raise OverflowError("a score is outside the range of long")
+    return exact.astype(np.int64)
 
 
 def search(queries: np.ndarray, least: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
@@ -138,7 +142,12 @@ def whole_numbers(df: DataFrame, vec_id: Column, vector: Column) -> DataFrame:
     rows = df.select(vec_id.alias("id"), vector.cast("array<double>").alias("x")).where("id is not null and x is not null")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.where(~F.exists("x", lambda x: F.coalesce(bad(x), F.lit(True))))
-    return rows.select("id", F.transform("x", lambda x: F.floor(x * 256).cast("int")).alias("v"))
+
+    def whole(x: Column) -> Column:
+        beyond = F.raise_error(F.lit("a component is too large for whole numbers")).cast("long")
+        return F.when(F.abs(x) < 2.0**45, F.floor(x * 256)).otherwise(beyond)
+
+    return rows.select("id", F.transform("x", whole).alias("v"))
 
 
 def _cells(pivots: dict[int, np.ndarray], by_score: bool):
@@ -201,10 +210,10 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best other vectors of each query."""
     spark = df.sparkSession
     chosen = F.coalesce(is_query, F.lit(False))
-    rows = whole_numbers(df.withColumn("_query_", chosen), F.col(vec_id), F.col(vector))
+    rows = whole_numbers(df, F.col(vec_id), F.col(vector)).dropDuplicates(["id", "v"])
     rows = saved(rows, "vectors")
     equal = Window.partitionBy("v").orderBy("id")
-    points = rows.withColumn("n", F.dense_rank().over(equal)).where(F.col("n") <= k + 1).drop("n").dropDuplicates()
+    points = rows.withColumn("n", F.dense_rank().over(equal)).where(F.col("n") <= k + 1).drop("n")
     asked = whole_numbers(df.where(chosen), F.col(vec_id), F.col(vector)).dropDuplicates()
     asked = saved(asked, "asked")
     queries = saved(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
@@ -220,7 +229,7 @@ def top_k(
         near = np.array(vectors, float).reshape(len(vectors), dim)
         pivots[dim] = near[farthest_first(near, PIVOTS)]
 
-    kept = "id long, v array<int>, dim int, cell int, away double"
+    kept = "id long, v array<long>, dim int, cell int, away double"
     points = saved(points.mapInArrow(_cells(pivots, False), kept), "points")
     cells = points.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
     subs = {(c.dim, c.cell): -(-c.n // block_rows) for c in cells}
@@ -241,7 +250,7 @@ def top_k(
     started = queries.join(saved(kth, "kth"), "q", "left").select("q", "v", F.coalesce("s", nothing).alias("least"))
 
     radius = {(c.dim, c.cell): c.radius for c in cells}
-    asked_cells = started.mapInArrow(_open_cells(pivots, radius), "q long, v array<int>, least long, dim int, cell int")
+    asked_cells = started.mapInArrow(_open_cells(pivots, radius), "q long, v array<long>, least long, dim int, cell int")
     wide = beside(asked_cells, blocks, ["dim", "cell"], "inner")
     wide = wide.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     found = _searched(dealt, wide.select("q", "v", "dim", "cell", "sub", part, "least"), k + 1)

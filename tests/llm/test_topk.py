@@ -55,3 +55,17 @@ def test_operator(spark):
     few = df.where("vec_id in (0, 10, 20)")
     assert topk.top_k(few, 5, F.col("vec_id") % 10 == 0).count() == 6
     assert topk.top_k(df.limit(0), 5, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_large_components(spark):
+    """Whole numbers beyond 32 bits, products beyond what doubles hold, and what is no lawful score."""
+    data = [(0, [1e7, 1.0]), (10, [3e12, -2.0]), (1, [40.0, 1e12]), (2, [1e7, 0.0]), (3, [-3e12, 5.5]), (4, [0.25, 7e4])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = topk.top_k(df.where("vec_id <> 10"), 3, F.col("vec_id") % 10 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute([r for r in data if r[0] != 10], 3, lambda q: q % 10 == 0)
+    with pytest.raises(Exception, match="outside the range of long"):
+        topk.top_k(df, 3, F.col("vec_id") % 10 == 0).collect()
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e15]), (1, [1.0])], df.schema), 3, F.col("vec_id") == 0).collect()
+    wide = np.array([[2.0**52, 3.0]])
+    assert topk._products(wide, np.array([[1.0, 2.0**50 + 1], [2.0**10, 0.0]])).tolist() == [[2**52 + 3 * (2**50 + 1), 2**62]]
