@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -177,10 +178,12 @@ class Codec:
         self.ranks = {token: i for i, token in enumerate(tokens)}
         self.names = [str(i) for i in range(len(tokens))]
         self.pattern = regex.compile(pattern)
+        # The quick pattern and the cuts stand for this one pattern; by another, texts stay whole.
+        self.quick = pattern == public_tokenizers.PATTERN
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str]:
-        plain = not _NOT_PLAIN.search(text)
+        plain = self.quick and not _NOT_PLAIN.search(text)
         return (_PLAIN_SPLIT if plain else self.pattern).findall(text)
 
     def learn(self, new: list[str]) -> None:
@@ -197,7 +200,7 @@ class Codec:
         """
         block, chars = [], 0
         for number, text in enumerate(texts):
-            for piece in pieces(text) if text else ():
+            for piece in (pieces(text) if self.quick else (text,)) if text else ():
                 block.append((number, self.split(piece)))
                 chars += len(piece)
                 if chars >= PIECE_CHARS:

@@ -62,3 +62,12 @@ def test_pieces_do_not_change_the_ids(want):
     parts = list(bpe.pieces(text, 100))
     assert len(parts) > 5 and "".join(parts) == text
     assert [i for p in parts for i in codec.encode(p)] == want.encode_ordinary(text)
+
+
+def test_another_pattern_holds_for_every_text():
+    ranks = bpe.read_ranks(PATH)
+    for pattern in (r"\S+|\s+", r"[a-z]+ [a-z]+|[\s\S]"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+        codec = bpe.Codec(ranks, pattern)
+        for text in ("a b-1 c", "a b-1 c 日", "one two three 4", "it's " * 400_000):
+            assert codec.encode(text) == library.encode_ordinary(text)
