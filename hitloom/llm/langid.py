@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hitloom.llm.store import beside, on_workers, saved
+from hitloom.llm.store import beside, dropped, on_workers, saved
 
 PER_LANGUAGE = 3000
 MAX_WORDS = 40_000
@@ -101,34 +101,66 @@ def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).drop("_rank")
 
 
+class Fitted(dict):
+    """A fitted model, packed: "langs", "sizes" and "packs" of parts with their counts.
+
+    "parts" ({n: {part: row}}; n = 0 for words) and "logs" are made where they are asked for,
+    so the driver holds and sends only the packs.
+    """
+
+    def __missing__(self, key: str):
+        if key not in ("parts", "logs"):
+            raise KeyError(key)
+        parts: dict[int, dict[str, int]] = {n: {} for n in (0, *GRAMS)}
+        logs, filled = [], 0
+        for n, names, counts in self.pop("packs"):
+            names = names.split("\n")
+            parts[n].update(zip(names, range(filled, filled + len(names))))
+            filled += len(names)
+            own = np.frombuffer(counts, np.int64).reshape(-1, len(self["langs"]))
+            logs.append(np.log(own / np.maximum(self["sizes"][n], 1) + FLOOR).astype(np.float32))
+        self.update(parts=parts, logs=np.concatenate(logs or [np.zeros((0, len(self["langs"])), np.float32)]))
+        return self[key]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, part, counts) of a task as one row per n: the parts as lines, the counts as numbers."""
+    names: dict[int, list[str]] = {}
+    counts: dict[int, list[list[int]]] = {}
+    for batch in batches:
+        for n, part, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            names.setdefault(n, []).append(part)
+            counts.setdefault(n, []).append(own)
+    for n, own in names.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n], pa.int32()), pa.array(["\n".join(own)]), pa.array([np.array(counts[n], np.int64).tobytes()])],
+            ["n", "parts", "counts"],
+        )
+
+
 def fit(
     labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
-) -> dict:
-    """Log frequencies from (text, lang) rows: {"langs", "parts": {n: {part: row}}, "logs"}; n = 0 for words."""
+) -> Fitted:
+    """Frequencies of the words and n-grams of (text, lang) rows."""
     texts = sampled(labelled.select("lang", "text"), per_language).select("lang", "text")
     total = F.sum("k").alias("k")
     words = saved(texts.mapInArrow(_count, _PARTS).groupBy("lang", "n", "part").agg(total), "words")
     grams = words.select("lang", "part", "k").mapInArrow(_count_grams, _PARTS).groupBy("lang", "n", "part").agg(total)
     parts = saved(words.unionByName(grams), "parts")
     totals = {(r.lang, r.n): r.k for r in parts.groupBy("lang", "n").agg(total).collect()}
+    langs = sorted({lang for lang, _ in totals})
     best = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "part")
     limit = F.when(F.col("n") == 0, max_words).otherwise(max_grams)
     known = (
         parts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(max_words, max_grams)).where(F.col("r") <= limit)
     ).select("n", "part").distinct()
-    rows = parts.join(known, ["n", "part"]).select("lang", "n", "part", "k").toPandas()
-    langs = sorted({lang for lang, _ in totals})
-    places = {key: i for i, key in enumerate(sorted(set(zip(rows["n"].tolist(), rows["part"].tolist()))))}
-    logs = np.zeros((len(places), len(langs)))
-    at = [places[key] for key in zip(rows["n"].tolist(), rows["part"].tolist())]
-    logs[at, [langs.index(lang) for lang in rows["lang"]]] = rows["k"]
-    sizes = np.array([[totals.get((lang, n), 0) for lang in langs] for n in (0, 1, 2, 3, 4)], float)
-    kinds = np.array([n for n, _ in places], int)
-    logs = np.log(logs / np.maximum(sizes[kinds], 1) + FLOOR).astype(np.float32)
-    by_length: dict[int, dict[str, int]] = {n: {} for n in (0, *GRAMS)}
-    for (n, part), i in places.items():
-        by_length[n][part] = i
-    return {"langs": langs, "parts": by_length, "logs": logs}
+    counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("k"))), F.lit(0)) for lang in langs]
+    rows = parts.join(known, ["n", "part"]).groupBy("n", "part").agg(F.array(*counts).cast("array<long>").alias("counts"))
+    packs = rows.mapInArrow(_pack, "n int, parts string, counts binary").collect() if langs else []
+    for df in (words, parts):
+        dropped(df.sparkSession, df)
+    sizes = {n: np.array([totals.get((lang, n), 0) for lang in langs], float) for n in (0, *GRAMS)}
+    return Fitted(langs=langs, sizes=sizes, packs=[(r.n, r.parts, bytes(r.counts)) for r in packs])
 
 
 class Model:

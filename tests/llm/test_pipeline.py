@@ -1,7 +1,7 @@
 import tiktoken
 from test_decontaminate import brute as brute_items
+from test_near_copies import plain_near_copies
 from test_pii import brute as brute_spans
-from test_simhash import plain_components, plain_print
 
 import corpus_pipeline
 from hitloom.llm import bpe, pii
@@ -22,9 +22,12 @@ def test_stages_against_brute_force(spark):
     assert all(t.columns == docs.columns and t.dtypes == docs.dtypes for t in tables[:-1])
 
     letters = {d for d, r in rows[0].items() if any(c.isalpha() for c in r.text or "")}
-    assert set(rows[1]) == letters and all(rows[1][d] == rows[0][d] for d in letters)
+    assert set(rows[1]) == letters and any(r.lang is None for r in rows[0].values())
+    for d, r in rows[1].items():  # a missing language is filled in, all else stays
+        before = rows[0][d].asDict()
+        assert r.lang and r.asDict() == {**before, "lang": before["lang"] or r.lang}
 
-    groups = plain_components({d: plain_print(r.text) for d, r in rows[1].items()})
+    groups = plain_near_copies({d: r.text for d, r in rows[1].items()})
     assert set(rows[2]) == set(groups.values())
     assert all(rows[2][d] == rows[1][d] for d in rows[2])
 
