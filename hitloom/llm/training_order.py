@@ -21,7 +21,7 @@ input table (part and row), so reading the same files again gives the same slots
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm.bpe import Codec, read_ranks
-from hitloom.llm.store import on_workers, saved
+from hitloom.llm.bpe import Codec, pieces, read_ranks
+from hitloom.llm.store import dropped, on_workers, saved
 
 SEQ_TOKENS = 512
 SHARD_SLOTS = 16_384
 ROUNDS = 6
 HEAD = 5
+WAVES = 4
+# Shuffle files go when the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -65,15 +68,16 @@ def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class LibraryCodec(Codec):
-    """A codec whose new pre-tokens are merged by the tokenizer library."""
+    """A codec that hands whole pieces of texts to the tokenizer library."""
 
     def __init__(self, sent: tuple[list[bytes], str]):
         super().__init__(*sent, table=object())
         self.library = tiktoken.Encoding("own", pat_str=sent[1], mergeable_ranks=self.ranks, special_tokens={})
 
-    def learn(self, new: list[str]) -> None:
-        for word in new:
-            self.memo[word] = tuple(self.library.encode_ordinary(word))
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[int]]]:
+        for number, text in enumerate(texts):
+            for piece in (pieces(text) if self.quick else (text,)) if text else ():
+                yield number, self.library.encode_ordinary(piece)
 
 
 _SEQUENCES = "part int, number long, doc_id long, seq long, n_tokens int, ids binary"
@@ -102,7 +106,10 @@ def _cut(own: Codec, texts: pa.Array, seq_tokens: int) -> Iterator[tuple[int, in
 def sequences(
     df: DataFrame, text: Column, path: str, pattern: str, doc_id: str = "doc_id", seq_tokens: int = SEQ_TOKENS, id_bytes: int = 2
 ) -> DataFrame:
-    """Sequences of token ids, numbered 0, 1, ... within each part (task) of the input."""
+    """Sequences of token ids, numbered 0, 1, ... within each part (task) of the input.
+
+    ``ids`` are compressed, for the stored table and for the shuffle into shards.
+    """
     tokens, kind = read_ranks(path), {2: "<u2", 4: "<u4"}[id_bytes]
     if len(tokens) > 1 << 8 * id_bytes:
         raise OverflowError(f"ids of this vocabulary do not fit in {id_bytes} bytes")
@@ -113,7 +120,7 @@ def sequences(
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for row, seq, ids in _cut(own, batch.column(1), seq_tokens):
-                held.append((part, number, docs[row], seq, len(ids), np.array(ids, kind).tobytes()))
+                held.append((part, number, docs[row], seq, len(ids), zlib.compress(np.array(ids, kind).tobytes(), 1)))
                 number += 1
                 if len(held) >= 4096:
                     yield _batch(held)
@@ -156,29 +163,53 @@ def stride(seq_tokens: int = SEQ_TOKENS, id_bytes: int = 2) -> int:
 
 
 def write_shards(
-    rows: DataFrame, path: str, key: int, seq_tokens: int = SEQ_TOKENS, id_bytes: int = 2, shard_slots: int = SHARD_SLOTS
-) -> int:
+    rows: DataFrame, path: str, key: int, seq_tokens: int = SEQ_TOKENS, id_bytes: int = 2,
+    shard_slots: int = SHARD_SLOTS, waves: int = WAVES,
+) -> int:
     """Write stored ``sequences`` to one file per shard; returns the number of sequences.
 
-    File number i (part-i) holds slots i * shard_slots and on.
+    File number i (part-i) holds slots i * shard_slots and on.  The shards are written in
+    ``waves`` of neighbouring ones; the shuffle of a wave is removed when its files are
+    written, so only a part of the sequences is on disk in shuffled form at a time.
     """
+    spark = rows.sparkSession
     n = rows.count()
-    shards = -(-n // shard_slots)
+    shards = max(1, -(-n // shard_slots))
     width = seq_tokens * id_bytes
 
     @F.arrow_udf("binary")
     def record(slots: pa.Array, docs: pa.Array, seqs: pa.Array, counts: pa.Array, ids: pa.Array) -> pa.Array:
         columns = (slots, docs.is_valid(), docs.fill_null(0), seqs, counts)
         heads = np.stack([x.to_numpy(zero_copy_only=False).astype("<i8") for x in columns], 1)
-        return pa.array([h.tobytes() + i.as_py().ljust(width, b"\0") for h, i in zip(heads, ids)], pa.binary())
+        bodies = [zlib.decompress(i.as_buffer()).ljust(width, b"\0") for i in ids]
+        return pa.array([h.tobytes() + i for h, i in zip(heads, bodies)], pa.binary())
 
     body = record("slot", "doc_id", "seq", "n_tokens", "ids").cast("string").alias("value")
-    shard = F.floor(F.col("slot") / shard_slots).cast("int")
-    ordered = slotted(rows, key).repartitionById(max(1, shards), shard).sortWithinPartitions("slot")
-    ordered.select(body).write.option("lineSep", "\n").text(path)
+    placed = slotted(rows, key).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
+    each = -(-shards // waves)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        for first in range(0, shards, each):
+            count = min(each, shards - first)
+            own = placed.where(F.col("shard").between(first, first + count - 1))
+            ordered = own.repartitionById(first + count, F.col("shard")).sortWithinPartitions("slot")
+            ordered.select(body).write.mode("append").option("lineSep", "\n").text(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _drop_empty(spark, f"{path}/part-*")
     return n
 
 
+def _drop_empty(spark: SparkSession, pattern: str) -> None:
+    """Remove empty files: the writer leaves one where the first task of a wave had no rows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(target) or []:
+        if not status.getLen():
+            system.delete(status.getPath(), False)
+
+
 _READ = "slot long, shard int, offset long, doc_id long, seq long, n_tokens int, ids_crc32 long, ids array<int>"
 
 
@@ -249,4 +280,6 @@ def materialise(
 ) -> int:
     """Tokenise once and write the shards to ``path``; returns the number of sequences."""
     rows = saved(sequences(df, text, tokenizer, pattern, doc_id, seq_tokens, id_bytes), "sequences")
-    return write_shards(rows, path, key, seq_tokens, id_bytes, shard_slots)
+    n = write_shards(rows, path, key, seq_tokens, id_bytes, shard_slots)
+    dropped(df.sparkSession, rows)
+    return n
