@@ -28,6 +28,7 @@ TIME_RANGE_CODES = {
     "bingnews": {"day": "4", "week": "7", "month": "9", "year": "9"},
 }
 
+# Names of the safe-search levels.
 SAFESEARCH_NAMES = {0: "off", 1: "moderate", 2: "strict"}
 
 

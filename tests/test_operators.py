@@ -455,12 +455,12 @@ def test_status(spark):
     probes = spark.createDataFrame(codes, "run_id int, http_status int, retry_after string")
     rows = classify_status(probes).collect()
     assert [r["severity"] for r in rows] == ["ok", "warn", "warn", "fail", "warn", "warn", "fail", "fail", "ok"]
-    assert rows[1]["tip"] == "Rate limited — retry in ~30s."
-    assert rows[2]["tip"] == "Rate limited — retry in ~60s."
-    assert classify_status(probes, verbose=True).collect()[5]["tip"] == "Unexpected HTTP 404."
+    assert rows[1]["tip"] == "Too many requests: wait 30 s."
+    assert rows[2]["tip"] == "Too many requests: wait 60 s."
+    assert classify_status(probes, verbose=True).collect()[5]["tip"] == "HTTP 404 is neither an answer nor a known refusal."
     out = {r["run_id"]: r for r in health_summary(classify_status(probes)).collect()}
-    assert out[1]["summary"] == "1 check(s) failed, 4 warning(s)" and not out[1]["all_unreachable"]
-    assert out[2]["all_unreachable"] and out[3]["summary"] == "All checks passed."
+    assert out[1]["summary"] == "1 failed, 4 warned" and not out[1]["all_unreachable"]
+    assert out[2]["all_unreachable"] and out[3]["summary"] == "nothing failed"
 
 
 def test_upsert_keeps_one_page_per_key(spark):
