@@ -109,9 +109,16 @@ def attach_text(
     stands between the crawl and the extraction. Of several captures of a URL the one
     scraped last counts. What travels to the join is the cut text, and of the body a
     one-character mark that there was one (the body itself only with ``keep_raw``).
-    ``records`` are read twice: store them first when they are dear (see ``run_search``).
+    ``records`` are stored first, as both the wanted URLs and the answer come from them.
     Pages of ``cached`` (live rows of a page cache) win over snapshots of their URL.
     """
+    return _attach_stored(_stored(records, "records"), snapshots, max_chars, keep_raw, extractor, unit, cached)
+
+
+def _attach_stored(
+    records: DataFrame, snapshots: DataFrame, max_chars: int, keep_raw: bool, extractor, unit: str,
+    cached: DataFrame | None = None,
+) -> DataFrame:
     snapshots = _wanted_pages(records, snapshots).withColumn("_kept", F.lit(False))
     if cached is not None:
         kept = _wanted_pages(records, cached).withColumn("error", F.lit(None).cast("string"))
@@ -159,7 +166,7 @@ def run_search(
     ranked = search_pages(result_pages, limit, rules, as_of)
     if queries is not None:
         ranked = within_query_limits(ranked, limits, limit)
-    return attach_text(_stored(ranked, "ranked"), snapshots, max_chars, keep_raw, extractor, unit)
+    return attach_text(ranked, snapshots, max_chars, keep_raw, extractor, unit)
 
 
 class Answer(NamedTuple):
@@ -208,7 +215,7 @@ def answer_queries(
     fetched = fetched.join(live.select("url").distinct(), "url", "left_anti")
     refused = requests.where("error is not null").select(*PAGE, F.lit("query").alias("error_kind"), "error")
     return Answer(
-        attach_text(records, fetched, max_chars, keep_raw, extractor, unit, live),
+        _attach_stored(records, fetched, max_chars, keep_raw, extractor, unit, live),
         result_entries(fresh.join(missed, PAGE), ttl, now, use_cache),
         page_entries(fetched, page_key(F.col("url")), ttl, now, use_cache),
         refused.unionByName(unanswered(missed, parsed)),
