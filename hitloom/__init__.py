@@ -4,6 +4,8 @@ from hitloom.functions.dates import parse_result_date, strip_date_prefix
 from hitloom.functions.html import (
     body_text_length,
     main_text,
+    render_blocks,
+    text_blocks,
     page_metadata,
     page_published,
     page_title,
@@ -54,12 +56,14 @@ from hitloom.operators.sanitize import sanitize, strip_html
 from hitloom.operators.status import classify_status, health_summary
 from hitloom.plans.run import (
     attach_text,
+    answer_queries,
     run_search,
     search_cached,
     search_hits,
     search_pages,
 )
 from hitloom.session import tune
+from hitloom.sources.cache_log import append_entries, purge_log, read_log
 from hitloom.sources.ndjson import read_records, write_records
 from hitloom.sources.tables import (
     clear_cache,
