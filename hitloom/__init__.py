@@ -71,8 +71,10 @@ from hitloom.sources.tables import (
     read_cache,
     read_result_pages,
     read_snapshots,
+    save_result_pages,
     save_snapshots,
 )
+from hitloom.streaming.late import finished, late_pages, stream_late_pages, write_heartbeats
 from hitloom.streaming.stages import (
     stream_attach_pages,
     stream_cache_upkeep,

@@ -11,6 +11,7 @@ from hitloom.operators.cache import live_entries
 NO_SNAPSHOT = "navigate: no snapshot"
 MIN_CHARS = 500
 POLL_SECONDS = 5
+BROADCAST_URLS = 200_000
 
 
 def _none_if_empty(c: Column) -> Column:
@@ -99,23 +100,46 @@ def apply_page(joined: DataFrame, columns: list[str], reset_error: bool) -> Data
     )
 
 
+def _rank_number(tier: Column, waited: Column, length: Column) -> Column:
+    """The order of a capture as one LONG: tier, then time, then length, nulls before all.
+
+    Times beyond twelve days and texts beyond half a billion characters share the ends of
+    their ranges, so equal numbers need an exact comparison and unequal ones do not.
+    """
+
+    def within(value: Column, bits: int) -> Column:
+        top = 1 << (bits - 1)
+        held = F.least(F.greatest(value.cast("double"), F.lit(1.0 - top)), F.lit(top - 1.0))
+        return F.coalesce(held.cast("long"), F.lit(-top).cast("long")) + F.lit(top)
+
+    return F.shiftleft(tier.cast("long"), 61) + F.shiftleft(within(waited, 31), 30) + within(length, 30)
+
+
 def pick_snapshot(
-    captures: DataFrame, min_chars: int = MIN_CHARS, poll_seconds: int = POLL_SECONDS
+    captures: DataFrame, min_chars: int = MIN_CHARS, poll_seconds: int = POLL_SECONDS,
+    broadcast_urls: int = BROADCAST_URLS,
 ) -> DataFrame:
     """One capture per URL, as a poll for enough text would have taken it.
 
-    ``captures`` has url, waited_ms (time since navigation), text_length and the
-    page columns. The earliest capture in the poll window with enough text wins,
-    else the latest in the window, else the earliest of all. These are one order, so
-    the aggregate keeps a single capture: a map task sends one body per URL.
+    ``captures`` has url, waited_ms (time since navigation), text_length and any other
+    columns, bodies among them. The earliest capture in the poll window with enough text
+    wins, else the latest in the window, else the earliest of all; ties go by the other columns.
+
+    The winners are found first, from the narrow columns, by an aggregate of fixed width. Up to
+    ``broadcast_urls`` of them are counted and broadcast, so that bodies are read and moved
+    for the winners only. Where there are more, bucketed captures (``save_snapshots``) stay in
+    their task, and of others a map task passes on one body per URL.
     """
     waited, length = F.col("waited_ms"), F.col("text_length")
     in_window = waited <= poll_seconds * 1000
-    class_of = F.when(in_window & (length >= min_chars), 1).when(in_window, 2).otherwise(3)
-    sign = F.when(F.col("_class") == 2, -1).otherwise(1)
+    tier = F.when(in_window & (length >= min_chars), 1).when(in_window, 2).otherwise(3)
+    sign = F.when(tier == 2, -1).otherwise(1)
+    number = _rank_number(tier, waited * sign, length * sign)
+
+    best = captures.groupBy("url").agg(F.min(number).alias("_best")).withColumnRenamed("url", "_url")
+    if best.limit(broadcast_urls + 1).count() <= broadcast_urls:
+        won = F.col("url").eqNullSafe(F.col("_url")) & (number == F.col("_best"))
+        captures = captures.join(F.broadcast(best), won, "left_semi")
     rest = [c for c in captures.columns if c != "url"]
-    order = F.struct(
-        F.col("_class"), (waited * sign).alias("_waited"), (length * sign).alias("_length"), *rest
-    )
-    picked = captures.withColumn("_class", class_of).groupBy("url").agg(F.min(order).alias("p"))
-    return picked.select("url", *[F.col(f"p.{c}").alias(c) for c in rest])
+    first = Window.partitionBy("url").orderBy(tier, waited * sign, length * sign, *rest)
+    return captures.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")

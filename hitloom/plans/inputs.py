@@ -13,8 +13,10 @@ from hitloom.functions.html import TITLE
 from hitloom.functions.keys import page_key, result_key
 from hitloom.operators.extract import extract_hits
 from hitloom.operators.requests import plan_requests
+from hitloom.schemas import RECORD
 
 NOW = 1_700_000_000
+QUEUED = 1_706_745_600  # 2024-02-01T00:00:00Z
 AS_OF = "2026-03-31 12:30:15"
 ENGINES = ["brave", "duckduckgo", "brave-news", "bingnews"]
 
@@ -272,9 +274,37 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((e * 379) % 9001 + F.when(F.col("user_id") % 3 == 0, 6000).otherwise(0)).alias("waited_ms"),
         ((e * 131) % 1200).alias("text_length"),
         "event_id",
+        F.concat(F.lit("<p>"), "event_type", F.lit(" "), "props", F.lit("</p>")).alias("raw_html"),
     )
 
 
+def waiting_records(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    """Ranked records with an id and the second they were queued at, which follows from their query."""
+    return records.select(
+        *RECORD.fieldNames(),
+        F.concat_ws(":", F.col("query_id").cast("string"), F.col("rank").cast("string")).alias("record_id"),
+        F.timestamp_seconds(F.lit(QUEUED) + F.col("query_id") % 60).alias("queued_at"),
+    )
+
+
+def late_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots, and of every third page a second capture twenty seconds later; ``late`` ones arrive after the rest."""
+    p = F.col("page_id")
+    first = snapshots(spark, sf_dir).withColumn("late", F.right("scraped_at", F.lit(2)) >= "5Z")
+    again = table(spark, sf_dir, "pages").where(p % 3 == 0).select(
+        "url",
+        F.concat(F.lit("again "), p.cast("string")).alias("title"),
+        F.col("html").alias("raw_html"),
+        F.concat(
+            F.lit("2024-02-01T00:0"), F.floor((p % 60 + 20) / 60).cast("string"), F.lit(":"),
+            F.lpad(((p + 20) % 60).cast("string"), 2, "0"), F.lit("Z"),
+        ).alias("scraped_at"),
+        F.lit("").alias("error"),
+        F.lit(True).alias("late"),
+    )
+    return first.unionByName(again)
+
+
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as scraped records; some in error, some without a body or a URL, some that tell their date."""
     p = F.col("page_id")

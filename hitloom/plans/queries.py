@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,7 +68,15 @@ from hitloom.schemas import PAGE_CACHE
 from hitloom.session import scratch_dir
 from hitloom.sources.cache_log import read_log
 from hitloom.sources.ndjson import read_records, write_records
-from hitloom.sources.tables import clear_cache, commit_version, read_cache
+from hitloom.sources.tables import (
+    clear_cache,
+    commit_version,
+    read_cache,
+    read_result_pages,
+    save_result_pages,
+    save_snapshots,
+)
+from hitloom.streaming.late import finished, stream_late_pages, write_heartbeats
 from hitloom.streaming.stages import (
     stream_attach_pages,
     stream_cache_upkeep,
@@ -423,7 +433,7 @@ def json_results(spark, d):
 
 def picked_snapshot(spark, d):
     rows = pick_snapshot(inputs.captures(spark, d))
-    return rows.select("url", "waited_ms", "text_length", "event_id")
+    return rows.select("url", "waited_ms", "text_length", "event_id", F.md5("raw_html").alias("raw_md5"))
 
 
 def shadow_merge(spark, d):
@@ -472,6 +482,21 @@ def streamed_attach(spark, d):
     return body_digest(read_records(spark, f"{base}/out"), "snippet")
 
 
+def streamed_late(spark, d):
+    """Two runs of one checkpoint: the records with the first captures, then the late captures."""
+    base = scratch_dir(spark, "late")
+    records, captures, sink, checkpoint = (f"{base}/{name}" for name in ("records", "captures", "out", "checkpoint"))
+    inputs.waiting_records(spark, d, ranked_records(spark, d)).write.parquet(records)
+    found = inputs.late_captures(spark, d)
+    for late in (False, True):
+        found.where(F.col("late") == late).drop("late").write.mode("append").parquet(captures)
+        if late:
+            over = dt.datetime.fromtimestamp(inputs.QUEUED + 1000, dt.timezone.utc)
+            write_heartbeats(spark, over, records, captures)
+        finished(stream_late_pages(spark, records, captures, sink, checkpoint, wait=30, disorder=300))
+    return body_digest(read_records(spark, sink), "snippet")
+
+
 def streamed_upkeep(spark, d):
     base = scratch_dir(spark, "upkeep")
     columns = PAGE_CACHE.fieldNames()
@@ -523,6 +548,16 @@ def search_run(spark, d):
     return text_rows(rows)
 
 
+def search_stored(spark, d):
+    """The search over stored tables: pages in folders by number, of which two are read, bodies in buckets by URL."""
+    base = scratch_dir(spark, "stored")
+    save_result_pages(inputs.result_pages(spark, d), f"{base}/pages")
+    bodies = f"bodies_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    save_snapshots(inputs.snapshots(spark, d), bodies, buckets, path=f"{base}/bodies")
+    return text_rows(run_search(read_result_pages(spark, f"{base}/pages"), spark.table(bodies), 20, as_of=as_of()))
+
+
 def answer(spark, d) -> Answer:
     return answer_queries(
         inputs.page_queries(spark, d), inputs.result_pages(spark, d), inputs.snapshots(spark, d),
@@ -591,11 +626,13 @@ QUERIES: dict[str, Query] = {
     "to_records": projected_records,
     "stream_sanitize": streamed_sanitize,
     "stream_attach": streamed_attach,
+    "stream_late_pages": streamed_late,
     "stream_cache_upkeep": streamed_upkeep,
     "search_with_text": search_with_text,
     "search_cached": cached_search,
     "search_result_pages": search_result_pages,
     "search_run": search_run,
+    "search_stored": search_stored,
     "answer_records": answer_records,
     "answer_entries": answer_entries,
     "answer_warnings": answer_warnings,

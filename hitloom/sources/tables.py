@@ -11,13 +11,23 @@ from hitloom.schemas import RESULT_CACHE, RESULT_PAGE, SNAPSHOT
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, partitions: int | None) -> DataFrame:
-    scan = spark.read.schema(schema).parquet(path)
+    scan = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     return scan.repartition(partitions) if partitions else scan
 
 
+def save_result_pages(result_pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Keep engine pages in one folder per page number, so that a page limit skips whole folders.
+
+    Few results are asked for beyond the first page, and a limit is the one filter every
+    search has. Files follow the tasks of ``result_pages``: nothing is moved to write them.
+    """
+    result_pages.select(*RESULT_PAGE.fieldNames()).write.mode(mode).partitionBy("page").parquet(path)
+
+
 def read_result_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Captured engine pages: query_id, engine, page, http_status, html.
 
+    ``path`` holds plain files or the folders of ``save_result_pages``.
     ``partitions`` deals the rows out anew, for a table of a few large splits; the size of
     splits is set by ``spark.sql.files.maxPartitionBytes``.
     """
@@ -29,15 +39,15 @@ def read_snapshots(spark: SparkSession, path: str, partitions: int | None = None
     return _read(spark, path, SNAPSHOT, partitions)
 
 
-def save_snapshots(snapshots: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
-    """Keep bodies bucketed and sorted by URL, so that joins on it do not move them."""
-    (
-        snapshots.write.mode(mode)
-        .bucketBy(buckets, "url")
-        .sortBy("url")
-        .format("parquet")
-        .saveAsTable(table)
-    )
+def save_snapshots(
+    snapshots: DataFrame, table: str, buckets: int, mode: str = "overwrite", path: str | None = None
+) -> None:
+    """Keep bodies bucketed and sorted by URL, so that joins on it do not move them.
+
+    The table lies in the warehouse, or at ``path``; it is read with ``spark.table``.
+    """
+    writer = snapshots.write.mode(mode).bucketBy(buckets, "url").sortBy("url").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def _version_log(root: str) -> str:

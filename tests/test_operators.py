@@ -356,8 +356,27 @@ def test_pick_snapshot(spark):
     }
     rows = [(u, *r) for u, rs in groups.items() for r in rs]
     captures = spark.createDataFrame(rows, "url string, waited_ms int, text_length int, raw_html int")
-    got = {r["url"]: tuple(r)[1:] for r in pick_snapshot(captures).collect()}
-    assert got == {u: brute_pick(rs) for u, rs in groups.items()}
+    for broadcast_urls in (1000, 0):
+        rows = pick_snapshot(captures, broadcast_urls=broadcast_urls).collect()
+        assert len(rows) == len(groups)
+        assert {r["url"]: tuple(r)[1:] for r in rows} == {u: brute_pick(rs) for u, rs in groups.items()}
+
+
+def test_pick_snapshot_far_values_nulls_and_copies(spark):
+    """Times and lengths beyond the packed ranges, no URL, null measures, repeated rows."""
+    day = 86_400_000
+    rows = [
+        ("far", 40 * day, 1, "c"), ("far", 30 * day, 2, "b"), ("far", 30 * day, 1, "z"),
+        ("long", 10, 3_000_000_000, "b"), ("long", 10, 2_000_000_000, "c"), ("long", 10, 2_000_000_000, "a"),
+        (None, 20, 900, "n"), (None, 10, 900, "m"), ("same", 10, 900, "x"), ("same", 10, 900, "x"),
+        ("null", None, 900, "w"), ("null", 9000, 900, "v"), ("short", 10, None, "u"), ("short", 20, 1, "t"),
+    ]
+    captures = spark.createDataFrame(rows, "url string, waited_ms long, text_length long, raw_html string")
+    want = {"far": "z", "long": "a", None: "m", "same": "x", "null": "w", "short": "t"}
+    for broadcast_urls in (1000, 0):
+        got = pick_snapshot(captures, broadcast_urls=broadcast_urls).collect()
+        assert len(got) == len(want) and {r.url: r.raw_html for r in got} == want
+    assert pick_snapshot(captures.limit(0)).collect() == []
 
 
 # Sanitize ------------------------------------------------------------------

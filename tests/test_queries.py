@@ -6,9 +6,12 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_points
+from hitloom.operators.attach import pick_snapshot
 from hitloom.operators.merge import merge_hits, rank_results, within_page_limit
 from hitloom.plans import inputs
 from hitloom.plans.run import attach_text, run_search, search_pages
+from hitloom.schemas import RESULT_PAGE
+from hitloom.sources.tables import read_result_pages, save_result_pages, save_snapshots
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {
@@ -95,6 +98,35 @@ def test_bodies_do_not_reach_the_join(spark, stored):
     assert len(exchanges) == 2
 
 
+def test_losing_captures_do_not_move(spark, tmp_path):
+    """Bodies meet the winners where they are read; bucketed ones stay where they are."""
+    inputs.captures(spark, SF).write.parquet(str(tmp_path / "captures"))
+    captures = spark.read.parquet(str(tmp_path / "captures"))
+    plan = pick_snapshot(captures)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    top, join = plan.index("Exchange hashpartitioning(url"), plan.index("LeftSemi")
+    assert top < join and plan[join:].count("Exchange hashpartitioning") == 1
+    scans = sorted(len(s.split(",")) for s in re.findall(r"FileScan parquet \[(.*?)\]", plan))
+    assert scans == [3, 5]  # the winners come from the narrow columns
+
+    save_snapshots(captures, "captures_by_url", 4)
+    stored = pick_snapshot(spark.table("captures_by_url"), broadcast_urls=0)
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(stored.collect()) == sorted(pick_snapshot(captures).collect())
+    spark.sql("drop table captures_by_url")
+
+
+def test_stored_pages_beyond_the_limit_are_not_listed(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    save_result_pages(inputs.result_pages(spark, SF), path)
+    save_result_pages(inputs.result_pages(spark, SF).limit(0), path)
+    pages = read_result_pages(spark, path)
+    assert pages.schema == RESULT_PAGE
+    near = within_page_limit(pages, 20)
+    assert re.search(r"PartitionFilters: \[.*page#\d+ <= 2", plan_of(near))
+    assert near.exceptAll(within_page_limit(inputs.result_pages(spark, SF), 20)).count() == 0
+
+
 def test_each_query_has_its_own_limit(spark, stored):
     """The plan with limits per query gives each query what it gets when asked alone."""
     as_of = inputs.as_of()
