@@ -37,8 +37,14 @@ from hitloom.streaming.stages import write_record_stream
 WAITING = T.StructType(
     [*RECORD.fields, T.StructField("record_id", TEXT), T.StructField("queued_at", T.TimestampType())]
 )
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state lies outside the heap, without megabytes set aside for each of its many small stores.
+#: A batch saves what it changed, so that a waiting body is written once, not with each batch.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _HEARTBEAT = "\1heartbeat"
 
 
@@ -117,12 +123,14 @@ def stream_late_pages(
         )
 
     out = late_pages(files(records, WAITING), files(captures, SNAPSHOT), wait, age, disorder, salts)
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         return write_record_stream(out, sink, checkpoint, keep_raw=True)
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def write_heartbeats(spark: SparkSession, at: dt.datetime, records: str, captures: str) -> None:
