@@ -7,8 +7,9 @@ that was precise enough on held-out candidates selects.  Spans of fixed formats
 address, card, phone) are found exactly and always stay.
 
 The trees learn from what the candidates' features do not show: validators (check digits,
-part ranges, domains) and key words before a candidate label a bounded sample of
-``MAX_CANDIDATES`` candidates; a third of it is held out for the thresholds.
+part ranges, domains) and key words before a candidate label all candidates of the table; a
+third of them is held out for the thresholds.  Candidates with equal features become one row
+with a weight, and counts of all of them give the split points, too.
 
 Results: a null text counts as empty and has no spans; repeated rows get the same result
 each; without candidates nothing is learned and only the fixed formats are found; positions
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 
 from hitloom.llm.store import saved
 
-MAX_CANDIDATES = 6000
 PRECISION = 0.98
 LEAST_POSITIVE = 10
-ROUNDS, DEPTH = 10, 3
+ROUNDS, DEPTH, BINS = 10, 3, 32
 CHUNK = 512
 
 # The formats, with the text that any match needs.  A match starts where a run
@@ -197,23 +197,63 @@ def features(c: Column) -> Column:
     return F.array(*[v.cast("double") for v in values])
 
 
-def _tree(node, x: Column) -> Column:
+def split_points(rows: DataFrame) -> list[list[float]]:
+    """Per feature at most ``BINS - 1`` values that split ``rows`` (x, n) into parts of like weight.
+
+    Between all values where there are few, else where the running count comes nearest to a
+    multiple of the stride: the rule of ``pyspark.ml``, but over counts of every row.
+    """
+    values = rows.select(F.posexplode("x").alias("at", "value"), "n").groupBy("at", "value").agg(F.sum("n").alias("n"))
+    ordered = values.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("v"))
+    between = lambda a, b: (a["value"] + b["value"]) / 2
+    stride = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["n"]) / BINS
+    nothing = [F.lit(None).cast("double").alias("value"), F.array().cast("array<double>").alias("cuts")]
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1).alias("next"), *nothing)
+
+    def step(a: Column, x: Column) -> Column:
+        target = a["next"] * F.col("stride")
+        cut = a["value"].isNotNull() & (F.abs(a["sum"] - target) < F.abs(a["sum"] + x["n"] - target))
+        return F.struct(
+            (a["sum"] + x["n"]).alias("sum"),
+            (a["next"] + cut.cast("int")).alias("next"),
+            x["value"].alias("value"),
+            F.when(cut, F.concat(a["cuts"], F.array(between(a, x)))).otherwise(a["cuts"]).alias("cuts"),
+        )
+
+    every = F.transform(F.slice("v", F.lit(2), F.size("v")), lambda x, i: between(F.get("v", i), x))
+    cuts = F.when(F.size("v") <= BINS, every).otherwise(F.aggregate("v", start, step, lambda a: a["cuts"]))
+    found = ordered.withColumn("stride", stride).select("at", cuts.alias("cuts")).collect()
+    return [list(row.cuts) for row in sorted(found)]
+
+
+def binned(x: Column, cuts: list[list[float]]) -> Column:
+    """Of each feature the number of its split points that lie below it."""
+    below = lambda i, own: sum(((F.get(x, F.lit(i)) > F.lit(c)).cast("double") for c in own), F.lit(0.0))
+    return F.array(*[below(i, own) for i, own in enumerate(cuts)])
+
+
+def _tree(node, x: Column, cuts: list[list[float]]) -> Column:
+    """A tree over binned features as a column over the features ``x`` themselves."""
     if node.getClass().getSimpleName() == "LeafNode":
         return F.lit(float(node.prediction()))
     split = node.split()
-    left, right = _tree(node.leftChild(), x), _tree(node.rightChild(), x)
-    return F.when(F.get(x, F.lit(split.featureIndex())) <= F.lit(float(split.threshold())), left).otherwise(right)
+    left, right = _tree(node.leftChild(), x, cuts), _tree(node.rightChild(), x, cuts)
+    at = split.featureIndex()
+    return F.when(F.get(x, F.lit(at)) <= F.lit(cuts[at][int(split.threshold())]), left).otherwise(right)
 
 
 class Model:
     """Boosted trees as a column expression, and a least score per generator."""
 
-    def __init__(self, trees: list[tuple[float, object]], least: dict[str, float]):
-        self.trees, self.least = trees, least
+    def __init__(self, trees: list[tuple[float, object]], least: dict[str, float], cuts: list[list[float]] = ()):
+        self.trees, self.least, self.cuts = trees, least, cuts
+
+    def score_of(self, x: Column) -> Column:
+        margin = sum((F.lit(w) * _tree(root, x, self.cuts) for w, root in self.trees), F.lit(0.0))
+        return 1 / (1 + F.exp(-2 * margin))
 
     def score(self, candidate: Column) -> Column:
-        margin = lambda x: sum((F.lit(w) * _tree(root, x) for w, root in self.trees), F.lit(0.0))
-        return let(features(candidate), lambda x: 1 / (1 + F.exp(-2 * margin(x))))
+        return let(features(candidate), self.score_of)
 
     def selects(self, candidate: Column) -> Column:
         least = F.lit(2.0)
@@ -222,38 +262,45 @@ class Model:
         return self.score(candidate) >= least
 
 
-def least_scores(rows: list[tuple[str, float, bool]], precision: float = PRECISION) -> dict[str, float]:
-    """Per generator the least score from which on held-out candidates are precise enough."""
+def least_scores(rows: list[tuple], precision: float = PRECISION) -> dict[str, float]:
+    """Per generator the least score from which on held-out candidates are precise enough.
+
+    Rows are (kind, score, label), or (kind, score, label, n) for n equal ones.
+    """
     found = {}
     for kind in {row[0] for row in rows}:
-        own = sorted(((score, label) for k, score, label in rows if k == kind), reverse=True)
-        right = 0
-        for i, (score, label) in enumerate(own, 1):
-            right += label
+        own = sorted(((score, label, *n) for k, score, label, *n in rows if k == kind), reverse=True)
+        right = total = 0
+        for i, (score, label, *n) in enumerate(own, 1):
+            count = n[0] if n else 1
+            right, total = right + label * count, total + count
             last = i == len(own) or own[i][0] < score  # equal scores are selected together
-            if last and right >= LEAST_POSITIVE and right >= precision * i:
+            if last and right >= LEAST_POSITIVE and right >= precision * total:
                 found[kind] = score
     return found
 
 
-def fit(df: DataFrame, text: Column, max_candidates: int = MAX_CANDIDATES) -> Model:
-    """Learn trees and thresholds from a bounded sample of the candidates in ``df``."""
+def fit(df: DataFrame, text: Column) -> Model:
+    """Learn trees and thresholds from all candidates in ``df``."""
     proposed = df.select(F.explode(candidates(F.coalesce(text, F.lit("")))).alias("c"))
-    order = F.xxhash64("c.found", "c.before", "c.start")
-    drawn = proposed.select("c", order.alias("h")).orderBy("h", "c").limit(max_candidates)
     c = F.col("c")
-    rows = drawn.select(c["kind"].alias("kind"), features(c).alias("x"), _label(c).cast("double").alias("label"), "h")
-    rows = saved(rows, "candidates").withColumn("held", F.pmod(F.shiftright("h", 7), F.lit(3)) == 0)
-    learn = rows.where("not held").select(array_to_vector("x").alias("features"), "label").coalesce(1)
+    held = F.pmod(F.shiftright(F.xxhash64("c.found", "c.before", "c.start"), 7), F.lit(3)) == 0
+    rows = proposed.select(c["kind"].alias("kind"), features(c).alias("x"), _label(c).cast("double").alias("label"), held.alias("held"))
+    rows = saved(rows.groupBy("kind", "x", "label", "held").agg(F.count("*").alias("n")), "candidates")
+    learn = rows.where("not held")
     if learn.agg(F.count_distinct("label")).first()[0] < 2:
         return Model([], {})
-    fitted = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1).fit(learn)
+    cuts = split_points(learn)
+    learn = learn.groupBy(binned(F.col("x"), cuts).alias("x"), "label").agg(F.sum("n").cast("double").alias("n"))
+    learn = saved(learn, "binned").select(array_to_vector("x").alias("features"), "label", "n")
+    fitted = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, maxBins=BINS, seed=1, weightCol="n").fit(learn)
     trees = [(w, t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)]
-    model = Model(trees, {})
-    margin = sum((F.lit(w) * _tree(root, F.col("x")) for w, root in trees), F.lit(0.0))
-    score = 1 / (1 + F.exp(-2 * margin))
-    held = rows.where("held").select("kind", score.alias("score"), (F.col("label") > 0).alias("label")).collect()
-    model.least = least_scores([tuple(r) for r in held])
+    model = Model(trees, {}, cuts)
+    score = model.score_of(F.col("x")).alias("score")
+    scored = rows.where("held").select("kind", score, (F.col("label") > 0).alias("label"), "n")
+    # The driver gets one row per score, and there are as many as ways through the trees.
+    counted = scored.groupBy("kind", "score", "label").agg(F.sum("n").alias("n"))
+    model.least = least_scores([tuple(r) for r in counted.collect()])
     return model
 
 

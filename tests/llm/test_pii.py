@@ -104,3 +104,41 @@ def test_overlaps_are_cut_once(spark):
 def test_least_scores():
     rows = [("key", 0.9, True)] * 12 + [("key", 0.5, True), ("key", 0.5, False), ("mail", 0.9, True)]
     assert pii.least_scores(rows, 0.95) == {"key": 0.9}
+
+
+def test_learns_from_all_candidates(spark):
+    """Among 20,000 other candidates, 60 tokens are enough to learn from."""
+    rng = random.Random(2)
+    token = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    rows = [(f'api token = "{token()}" ok',) for _ in range(60)] + [(f"see /path/{i % 9}/long-name-of-some-file-{i} ok",) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "text string").repartition(8)
+    model = pii.fit(df, F.col("text"))
+    out = pii.with_spans(df, F.col("text"), model).select("text", F.size("pii.spans").alias("n")).collect()
+    assert len(out) == len(rows)
+    assert all(row.n == ("token" in row.text) for row in out)
+
+
+def test_split_points(spark):
+    rng = random.Random(3)
+    rows = [([float(rng.randrange(2)), float(rng.randrange(32) * 3), float(int(rng.gauss(0, 40))), 7.0], rng.randrange(1, 4)) for _ in range(3000)]
+    cuts = pii.split_points(spark.createDataFrame(rows, "x array<double>, n long").repartition(3))
+    assert cuts[0] == [0.5] and cuts[1] == [3 * i + 1.5 for i in range(31)] and cuts[3] == []
+    values = sorted(x[2] for x, n in rows for _ in range(n))
+    parts = [sum(a < v <= b for v in values) for a, b in zip([-1e9, *cuts[2]], [*cuts[2], 1e9])]
+    assert len(parts) == pii.BINS and max(parts) < 2 * len(values) / pii.BINS
+    df = spark.createDataFrame(rows, "x array<double>, n long").select("x", pii.binned(F.col("x"), cuts).alias("b"))
+    assert all(row.b == [sum(v > c for c in own) for v, own in zip(row.x, cuts)] for row in df.collect())
+
+
+def test_trees_over_split_points(spark):
+    """The columns score as the trees of the library do over binned features."""
+    rng = random.Random(4)
+    rows = [([float(rng.randrange(100)), float(rng.randrange(3))],) for _ in range(400)]
+    df = spark.createDataFrame(rows, "x array<double>").withColumn("label", (F.col("x")[0] * F.col("x")[1] > 60).cast("double"))
+    cuts = pii.split_points(df.withColumn("n", F.lit(1)))
+    binned = df.withColumn("features", pii.array_to_vector(pii.binned(F.col("x"), cuts)))
+    fitted = pii.GBTClassifier(maxIter=3, maxDepth=3, maxBins=pii.BINS, seed=1).fit(binned)
+    trees = [(w, t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)]
+    scored = fitted.transform(binned).withColumn("own", pii.Model(trees, {}, cuts).score_of(F.col("x")))
+    for row in scored.collect():
+        assert abs(row.probability[1] - row.own) < 1e-9
