@@ -1,9 +1,12 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash bands only propose.  A set goes to 40 buckets, each keyed by five minima; sets that
-meet in one bucket belong to one clump, and within a clump the shingle sets themselves are
-compared, so every link is exact.  A pair at similarity 0.8 shares no bucket with a chance of
-(1 - 0.8 ** 5) ** 40, about one in eight million, and less above it.
+Two ways propose.  The SimHash of each set goes through the binary tries of ``simhash``,
+which find all pairs of fingerprints at distance ``BUDGET`` or less.  Similarity 0.8 means
+some ten differing bits, where tries can't prune, so MinHash bands propose pairs that differ
+more: a set goes to 40 buckets, each keyed by five minima.  Sets joined by either way belong
+to one clump, and within a clump the shingle sets themselves are compared, so every link is
+exact.  A pair at similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** 5) ** 40, about
+one in eight million, and less above it.
 
 A clump is dealt out by pairs of blocks of its sets, so no task holds a large one whole, and
 each task passes on only the links that its sets need to hang together.  Equal sets meet
@@ -27,6 +30,7 @@ from hitloom.llm.components import components
 from hitloom.llm.store import beside, saved
 
 SHINGLE = 5
+BUDGET = 4
 BANDS, MINIMA = 40, 5
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1_000_000
 _STEP = 1024
@@ -71,17 +75,18 @@ def _bands(own: np.ndarray) -> np.ndarray:
 
 
 def with_prints(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with ``fp`` (a name for the shingle set), its size ``n`` and its ``bands``."""
+    """``df`` with ``fp`` (a name for the shingle set), its size ``n``, its SimHash ``sim`` and its ``bands``."""
 
-    @F.arrow_udf("struct<fp:bigint,n:int,bands:array<bigint>>")
+    @F.arrow_udf("struct<fp:bigint,n:int,sim:bigint,bands:array<bigint>>")
     def prints(texts: pa.Array) -> pa.Array:
         sets = [shingles(t.as_py()) for t in texts]
         columns = [
             pa.array(np.array([_name(own) for own in sets], np.uint64).astype(np.int64)),
             pa.array([len(own) for own in sets], pa.int32()),
+            pa.array(np.array([simhash.set_fingerprint(own) for own in sets], np.uint64).astype(np.int64)),
             pa.array([_bands(own) for own in sets], pa.list_(pa.int64())),
         ]
-        return pa.StructArray.from_arrays(columns, ["fp", "n", "bands"])
+        return pa.StructArray.from_arrays(columns, ["fp", "n", "sim", "bands"])
 
     return df.withColumn("_print_", prints.asNondeterministic()(text)).select("*", "_print_.*").drop("_print_")
 
@@ -126,13 +131,26 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
 
+def near_prints(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) by ``fp`` that join all sets of ``rows`` whose SimHash differs by ``BUDGET`` bits or fewer."""
+    prints = rows.where("n > 0").select("fp", "sim").distinct()
+    owners = saved(prints.groupBy("sim").agg(F.min("fp").alias("least"), F.max("fp").alias("most")), "owners")
+    same = owners.where("least < most").select("sim", "least")
+    equal = beside(prints, same, ["sim"], "inner").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    linked = saved(simhash.links(owners.select(F.col("sim").alias("fp")), BUDGET), "linked")
+    half = beside(owners.select(F.col("sim").alias("u"), F.col("least").alias("a")), linked, ["u"], "inner")
+    whole = beside(owners.select(F.col("sim").alias("v"), F.col("least").alias("b")), saved(half, "half"), ["v"], "inner")
+    return equal.unionByName(whole.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def links(docs: DataFrame, rows: DataFrame, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Links (u, v) by ``fp`` that join all near copies of ``docs`` (doc_id, _t), whose prints are ``rows``."""
     bands = rows.select("fp", F.explode("bands").alias("band")).distinct()
     buckets = bands.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
     buckets = saved(buckets.where("least < most").select("band", "least"), "buckets")
     stars = beside(bands, buckets, ["band"], "inner").where("fp <> least")
-    found = saved(components(stars.select(F.col("fp").alias("u"), F.col("least").alias("v"))), "clumps")
+    stars = stars.select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    found = saved(components(near_prints(rows).unionByName(stars)), "clumps")
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
     sizes = rows.groupBy(F.col("fp").alias("node")).agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -156,4 +174,4 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(doc_id, fp, component_id) per document; component_id is the least doc_id reachable."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     rows = saved(with_prints(docs, F.col("_t")).drop("_t"), "prints")
-    return simhash.with_components(rows.drop("bands"), links(docs, rows))
+    return simhash.with_components(rows.drop("bands", "sim"), links(docs, rows))

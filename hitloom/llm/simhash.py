@@ -1,8 +1,9 @@
 """SimHash near-duplicates: fingerprints, and a self-join of binary tries over them.
 
 A pair of fingerprints at distance 2 or less agrees on at least two of its four 16-bit
-blocks.  So each distinct fingerprint goes to six tables, one per pair of blocks; rows that
-agree on the 32 bits of a table form the trie of the other 32 bits.  Node pairs of a trie
+blocks, one at distance 4 or less on two of six.  So each distinct fingerprint goes to one
+table per pair of blocks (six or fifteen); rows that agree on the bits of a table, 32 of four
+blocks, 20 to 22 of six, form the trie of the other bits.  Node pairs of a trie
 are traversed together, a level at a time: their differing bits add up and a pair goes as
 soon as they exceed the budget.  A trie with very many rows is dealt out by node pair at a
 fixed depth, so no task holds it whole.  Each task passes on only the links that its rows
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ DEAL_BITS = 8
 FRONTIER = 500_000
 
 _SPACE = re.compile("[ \t-\r]")
-_BLOCKS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+MAX_BUDGET = 4
 
 
 def _word_blocks(text: str, size: int) -> Iterator[list[bytes]]:
@@ -81,28 +83,59 @@ def with_fingerprint(df: DataFrame, text: Column, into: str = "fp") -> DataFrame
     return df.withColumn(into, prints(text))
 
 
-def _split(fp: np.ndarray, blocks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    part = [(fp >> np.uint64(16 * b)) & np.uint64(0xFFFF) for b in range(4)]
-    others = [b for b in range(4) if b not in blocks]
-    key = part[blocks[0]] << np.uint64(16) | part[blocks[1]]
-    return key, part[others[0]] << np.uint64(16) | part[others[1]]
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes that are given, as an unsigned number; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        rows = hashes[at : at + (1 << 13)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _widths(budget: int) -> list[int]:
+    """Bits of each block: so many blocks that ``budget`` bits leave two of them equal."""
+    count = max(4, budget + 2)
+    return [64 // count + (i < 64 % count) for i in range(count)]
+
+
+def _rest_bits(budget: int) -> int:
+    return 64 - 2 * min(_widths(budget))
+
+
+def _split(fp: np.ndarray, blocks: tuple[int, int], budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of two blocks, and those of the others, which are aligned at the top of ``_rest_bits``."""
+    key, rest = np.zeros(len(fp), np.uint64), np.zeros(len(fp), np.uint64)
+    at, spare = 0, _rest_bits(budget) - 64
+    for block, width in enumerate(_widths(budget)):
+        part = fp >> np.uint64(at) & np.uint64((1 << width) - 1)
+        at += width
+        if block in blocks:
+            key, spare = key << np.uint64(width) | part, spare + width
+        else:
+            rest = rest << np.uint64(width) | part
+    return key, rest << np.uint64(spare)
+
+
+def _tabled(budget: int):
     """Each fingerprint once per table: (tab, key, rest, fp)."""
-    for batch in batches:
-        signed = batch.column(0).to_numpy()
-        for tab, blocks in enumerate(_BLOCKS):
-            key, rest = _split(signed.astype(np.uint64), blocks)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(signed), tab, np.int32)),
-                    pa.array(key.astype(np.int64)),
-                    pa.array(rest.astype(np.int64)),
-                    pa.array(signed),
-                ],
-                ["tab", "key", "rest", "fp"],
-            )
+    tables = list(combinations(range(len(_widths(budget))), 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = batch.column(0).to_numpy()
+            for tab, blocks in enumerate(tables):
+                key, rest = _split(signed.astype(np.uint64), blocks, budget)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(signed), tab, np.int32)),
+                        pa.array(key.astype(np.int64)),
+                        pa.array(rest.astype(np.int64)),
+                        pa.array(signed),
+                    ],
+                    ["tab", "key", "rest", "fp"],
+                )
+
+    return run
 
 
 class _Links:
@@ -191,7 +224,8 @@ def _links_of(table: pa.Table, budget: int) -> Iterator[pa.RecordBatch]:
     ends = np.append(starts[1:], len(table))
     rest, fp, node = (table[c].to_numpy() for c in ("rest", "fp", "node"))
     whole, dealt = [], []
-    prefix = rest >> (32 - DEAL_BITS)
+    rest_bits = _rest_bits(budget)
+    prefix = rest >> (rest_bits - DEAL_BITS)
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
         if node[a] < 0:
             whole.append((a, b, a, b, 0))
@@ -203,19 +237,19 @@ def _links_of(table: pa.Table, budget: int) -> Iterator[pa.RecordBatch]:
             mid = a + int(np.searchsorted(prefix[a:b], right))
             if a < mid < b:
                 dealt.append((a, mid, mid, b, int(left ^ right).bit_count()))
-    for pairs, bits in ((whole, 32), (dealt, 32 - DEAL_BITS)):
+    for pairs, bits in ((whole, rest_bits), (dealt, rest_bits - DEAL_BITS)):
         if pairs:
             label = join_tries(rest, pairs, bits, budget)
             at = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], ["u", "v"])
 
 
-def _near(bits: int, budget: int) -> list[list[int]]:
-    """For each prefix, the node pairs (smaller << bits | larger) it takes part in."""
-    size = 1 << bits
-    return [
-        [min(x, y) << bits | max(x, y) for y in range(size) if (x ^ y).bit_count() <= budget] for x in range(size)
-    ]
+def _near(prefix: Column, budget: int) -> Column:
+    """The node pairs (smaller << DEAL_BITS | larger) that a prefix takes part in."""
+    others = F.filter(
+        F.sequence(F.lit(0), F.lit((1 << DEAL_BITS) - 1)), lambda y: F.bit_count(prefix.bitwiseXOR(y)) <= budget
+    )
+    return F.transform(others, lambda y: F.shiftleft(F.least(prefix, y), DEAL_BITS).bitwiseOR(F.greatest(prefix, y)))
 
 
 def links(prints: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS) -> DataFrame:
@@ -223,15 +257,14 @@ def links(prints: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS) -
 
     Each is a pair of fingerprints of one component; pairs that follow from others are left out.
     """
-    if budget > 2:
-        raise ValueError("four blocks find all pairs at distance 2 or less only")
-    rows = prints.select("fp").mapInArrow(_tabled, "tab int, key long, rest long, fp long")
+    if budget > MAX_BUDGET:
+        raise ValueError(f"a distance above {MAX_BUDGET} leaves too few equal bits for tables")
+    rows = prints.select("fp").mapInArrow(_tabled(budget), "tab int, key long, rest long, fp long")
     crowded = rows.groupBy("tab", "key").count().where(F.col("count") > trie_rows).select("tab", "key", F.lit(True).alias("hot"))
     rows = beside(rows, saved(crowded, "crowded"), ["tab", "key"], "left")
-    pairs = F.array(*[F.array(*map(F.lit, x)) for x in _near(DEAL_BITS, budget)])
-    prefix = F.shiftrightunsigned("rest", 32 - DEAL_BITS).cast("int")
+    prefix = F.shiftrightunsigned("rest", _rest_bits(budget) - DEAL_BITS).cast("int")
     cold = rows.where("hot is null").withColumn("node", F.lit(-1))
-    hot = rows.where("hot").withColumn("node", F.explode(F.element_at(pairs, prefix + 1)))
+    hot = rows.where("hot").withColumn("node", F.explode(_near(prefix, budget)))
     dealt = cold.unionByName(hot).select("tab", "key", "node", "rest", "fp")
     return (
         dealt.repartition("tab", "key", "node")

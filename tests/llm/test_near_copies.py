@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hitloom.llm import near_copies
+from hitloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +77,25 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_copies.near_copies(df).collect())
     assert got == [(-1, 5), (-1, 5), (5, 5), (5, 5), (7, 5), (9, 9)]
     assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
+def test_tries_propose_without_bands(spark):
+    """Where no bucket is shared, SimHash tries propose, and only similar sets are linked."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        base = rng.choices([f"w{i}" for i in range(900)], k=400)
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join([*base[:200], "other", *base[201:]])]
+    texts += [None, "", "one two", "one three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _t string")
+    rows = near_copies.with_prints(docs, F.col("_t")).drop("_t").withColumn("bands", F.array().cast("array<bigint>")).cache()
+    name = {r.doc_id: r.fp for r in rows.collect()}
+    sets = {name[i]: plain_shingles(t) for i, t in enumerate(texts)}
+    prints = {r.fp: r.sim for r in rows.collect()}
+    differ = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count()
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and differ(a, b) <= near_copies.BUDGET and similar(a, b)]
+    assert sum(differ(a, b) > 2 for a, b in near) > 5
+    root = {r.node: r.root for r in components(near_copies.links(docs, rows)).collect()}
+    assert all(root.get(a, a) == root.get(b, b) for a, b in near)
+    assert all(similar(r.u, r.v) for r in near_copies.links(docs, rows).collect())

@@ -120,3 +120,42 @@ def test_long_chains_settle(spark):
     star = spark.range(1, 500).select(F.lit(700).cast("long").alias("u"), F.col("id").alias("v"))
     got = {(r.node, r.root) for r in components(star).collect()}
     assert got == {(i, 1) for i in [*range(2, 500), 700]}
+
+
+def test_set_fingerprint():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 9, 20_000):
+        hashes = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+        ones = [int((hashes >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+        assert simhash.set_fingerprint(hashes) == sum(1 << b for b in range(64) if ones[b] * 2 > n)
+
+
+def test_wider_budgets(spark):
+    """Distances up to 4, also with tries dealt out, against all pairs."""
+    rng = random.Random(11)
+    prints = []
+    for _ in range(60):
+        fp = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 8])):
+            prints.append(fp)
+            for bit in rng.sample(range(64), rng.randrange(1, 7)):
+                fp ^= 1 << bit
+    df = spark.createDataFrame([(signed(x),) for x in sorted(set(prints))], "fp long")
+    for budget, trie_rows in ((3, 10), (4, simhash.TRIE_ROWS), (4, 1)):
+        linked = simhash.links(df, budget, trie_rows=trie_rows)
+        got = {signed(x): signed(x) for x in prints} | {r.node: r.root for r in components(linked).collect()}
+        for i, a in enumerate(prints):
+            for b in prints[:i]:
+                assert (a ^ b).bit_count() > budget or got[signed(a)] == got[signed(b)]
+        mask = 2**64 - 1
+        groups = {}
+        for x in set(prints):
+            groups.setdefault(got[signed(x)], []).append(x & mask)
+        for own in groups.values():  # nothing farther away is joined: each group hangs together by near pairs
+            seen, todo = {own[0]}, [own[0]]
+            while todo:
+                x = todo.pop()
+                near = [y for y in own if y not in seen and (x ^ y).bit_count() <= budget]
+                seen.update(near)
+                todo += near
+            assert seen == set(own)
