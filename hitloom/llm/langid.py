@@ -126,14 +126,16 @@ class Fitted(dict):
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(n, part, counts) of a task as one row per n: the parts as lines, the counts as numbers."""
     names: dict[int, list[str]] = {}
-    counts: dict[int, list[list[int]]] = {}
+    counts: dict[int, list[bytes]] = {}
     for batch in batches:
-        for n, part, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            names.setdefault(n, []).append(part)
-            counts.setdefault(n, []).append(own)
+        of = batch.column(0).to_numpy()
+        for n in np.unique(of).tolist():
+            own = batch.filter(pa.array(of == n))
+            names.setdefault(n, []).append("\n".join(own.column(1).to_pylist()))
+            counts.setdefault(n, []).append(own.column(2).flatten().to_numpy().tobytes())
     for n, own in names.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([n], pa.int32()), pa.array(["\n".join(own)]), pa.array([np.array(counts[n], np.int64).tobytes()])],
+            [pa.array([n], pa.int32()), pa.array(["\n".join(own)]), pa.array([b"".join(counts[n])])],
             ["n", "parts", "counts"],
         )
 
@@ -167,14 +169,12 @@ class Model:
     """A fitted model; words that were met before are looked up in a memo of bounded size."""
 
     def __init__(self, fitted: dict):
-        self.langs, self.parts, self.logs = fitted["langs"], fitted["parts"], fitted["logs"]
-        self.known = self.parts[0]
-        self._reset(0)
-
-    def _reset(self, least: int) -> None:
-        room = max(least, MEMO_CELLS // max(1, len(self.langs)))
-        self.rows, self.filled = dict(self.known), len(self.logs)
-        self.table = np.concatenate([self.logs, np.zeros((room, len(self.langs)), self.logs.dtype)])
+        self.langs, self.parts, logs = fitted["langs"], fitted["parts"], fitted["logs"]
+        self.known, self.filled = self.parts[0], len(logs)
+        self.memo: dict[str, int] = {}
+        room = np.zeros((MEMO_CELLS // max(1, len(self.langs)), len(self.langs)), logs.dtype)
+        self.table = np.concatenate([logs, room])
+        self.logs = self.table[: len(logs)]
 
     def word(self, word: str) -> np.ndarray:
         """Scores of an unseen word: mean over its known n-grams of the longest length."""
@@ -186,15 +186,23 @@ class Model:
         return np.zeros(len(self.langs))
 
     def _places(self, words: list[str]) -> np.ndarray:
-        new = [word for word in set(words) if word not in self.rows]
+        known, memo = self.known.get, self.memo.get
+        place = dict.fromkeys(words)
+        for word in place:
+            row = known(word)
+            place[word] = memo(word) if row is None else row
+        new = [word for word, row in place.items() if row is None]
         if self.filled + len(new) > len(self.table):
-            new = [word for word in set(words) if word not in self.known]
-            self._reset(len(new))
+            new = [word for word in place if word not in self.known]
+            self.memo, self.filled = {}, len(self.logs)
+            if len(new) > len(self.table) - self.filled:  # more new words than the memo is meant for
+                self.table = np.concatenate([self.logs, np.zeros((len(new), len(self.langs)), self.logs.dtype)])
+                self.logs = self.table[: self.filled]
         for word in new:
             self.table[self.filled] = self.word(word)
-            self.rows[word] = self.filled
+            self.memo[word] = place[word] = self.filled
             self.filled += 1
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, has letters) per text."""

@@ -35,7 +35,7 @@ SEED, SHINGLE, BUDGET = 42, 3, 2
 BLOCK_CHARS = 1_000_000
 TRIE_ROWS = 200_000
 DEAL_BITS = 8
-FRONTIER = 500_000
+FRONTIER = 100_000  # node pairs that are expanded at once
 
 _SPACE = re.compile("[ \t-\r]")
 MAX_BUDGET = 4
@@ -164,8 +164,8 @@ def join_tries(rest: np.ndarray, pairs: list[tuple[int, int, int, int, int]], bi
     same bounds twice.
     """
     links = _Links(len(rest))
-    ones = [np.concatenate(([0], np.cumsum(rest >> b & 1))) for b in range(bits)]
-    stack = [(bits, np.array(pairs, np.int64).reshape(-1, 5))]
+    stack = [(bits, np.array(pairs, np.int32).reshape(-1, 5))]
+    counted, count = 0, np.zeros(len(rest) + 1, np.int32)  # of one level: those of all would outgrow the rows
     while stack:
         level, nodes = stack.pop()
         if len(nodes) > FRONTIER:
@@ -175,8 +175,10 @@ def join_tries(rest: np.ndarray, pairs: list[tuple[int, int, int, int, int]], bi
         if not level:
             links.add(nodes[:, 0], nodes[:, 2])
             continue
+        if level != counted:
+            counted = level
+            np.cumsum(rest >> (level - 1) & 1, dtype=np.int32, out=count[1:])
         a, b, c, d, differ = nodes.T
-        count = ones[level - 1]
         mid, mid2 = b - (count[b] - count[a]), d - (count[d] - count[c])
         own = a == c
         low = np.stack([a, mid, c, mid2, differ], 1)

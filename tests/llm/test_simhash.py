@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -80,6 +81,39 @@ def test_dense_trie():
     assert not label.any()
 
 
+def many_tries(seed, n, tries, mask):
+    """``n`` sorted rows of 44 bits (those of ``mask``) in about ``tries`` tries, each paired with itself."""
+    rng = np.random.default_rng(seed)
+    rows = np.sort(rng.integers(0, tries, n) << 44 | rng.integers(0, 1 << 44, n) & mask)
+    starts = np.flatnonzero(np.append(True, np.diff(rows >> 44) > 0))
+    ends = np.append(starts[1:], n)
+    return rows & (1 << 44) - 1, [(a, b, a, b, 0) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > 1]
+
+
+def test_join_in_parts(monkeypatch):
+    rest, pairs = many_tries(1, 6000, 40, 0x0F10F10F10F1)
+    whole = simhash.join_tries(rest, pairs, 44, 4)
+    a, b, *_ = pairs[0]
+    differ = np.array([[(x ^ y).bit_count() for y in rest[a:b].tolist()] for x in rest[a:b].tolist()])
+    near = [(int(i), int(j)) for i, j in np.argwhere(differ <= 4) if i < j]
+    want = np.arange(b - a)
+    while any(want[i] != want[j] for i, j in near):
+        for i, j in near:
+            want[[i, j]] = min(want[i], want[j])
+    assert (whole[a:b] - a).tolist() == want.tolist() and len(near)
+    monkeypatch.setattr(simhash, "FRONTIER", 50)  # levels are left and come back
+    assert simhash.join_tries(rest, pairs, 44, 4).tolist() == whole.tolist()
+
+
+def test_join_takes_little_memory():
+    rest, pairs = many_tries(2, 200_000, 20_000, 0x0FF0FF0FF0FF)
+    tracemalloc.start()
+    simhash.join_tries(rest, pairs, 44, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # two of them run in an executor
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(50)]
